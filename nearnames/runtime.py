@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = "1000"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, however the driver came to import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_nearnames_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    # The driver serves this file to executors for as long as the session lives.
+    packed = Path(tempfile.mkdtemp(prefix="nearnames-")) / "nearnames.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    sc.addPyFile(str(packed))
+    sc._nearnames_shipped = True
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive (Spark's default is 10,000 rows)."""
+    """Ship the package, and bound Arrow batches (Spark's default is 10,000 rows)."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
