@@ -109,7 +109,8 @@ def unlabelled(spark: SparkSession, path: str) -> DataFrame:
 
 def proposer_run(spark: SparkSession, path: str) -> DataFrame:
     """A run written as one JSON array, or as JSON lines."""
-    return spark.read.schema(RUN).json(path, multiLine=True)
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return spark.read.schema(RUN).json(path, multiLine=bool(first and first[0].lstrip().startswith("[")))
 
 
 def positives(spark: SparkSession, pairs_path: str | None, run_path: str | None) -> DataFrame:
