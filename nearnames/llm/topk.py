@@ -57,7 +57,7 @@ class KDTree:
 
     def search(self, queries: np.ndarray, own: np.ndarray, names: np.ndarray, k: int, floor: np.ndarray) -> tuple:
         """Arrays (query's row, name, score) that hold each query's k best at or above its floor."""
-        bounds = self.bounds(queries)
+        bounds = _held(self.bounds(queries))
         order = np.argsort(-bounds, axis=1, kind="stable")
         best = np.full((len(queries), k), NEVER, dtype=queries.dtype)
         kth, found = floor.astype(queries.dtype), ([], [], [])
@@ -69,7 +69,7 @@ class KDTree:
             by_leaf = open_[np.argsort(leaf[open_], kind="stable")]
             for asked in np.split(by_leaf, np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
                 rows = self.leaves[leaf[asked[0]]]
-                scores = queries[asked] @ self.points[rows].T
+                scores = _held(queries[asked] @ self.points[rows].T)
                 scores[names[rows][None, :] == own[asked][:, None]] = NEVER
                 q, r = np.nonzero((scores >= kth[asked][:, None]) & (scores > NEVER))
                 if not len(q):
@@ -84,6 +84,11 @@ class KDTree:
         return tuple(np.concatenate(x) if x else np.array([], dtype=np.int64) for x in found)
 
 
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Within a long; only numbers beyond exact doubles can leave it."""
+    return np.minimum(np.maximum(scores, _MIN), _MAX) if scores.dtype == object else scores
+
+
 def _numbers(vectors: pd.Series, wide: bool) -> np.ndarray:
     """Integer vectors as a matrix; shorter ones end in zeros."""
     dim = max((len(v) for v in vectors), default=0)
@@ -106,12 +111,14 @@ def _search(shard: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     points, asked = numbers[: len(shard)], numbers[len(shard) :]
     names, own, tree = shard["vec_id"].to_numpy(), queries["asked"].to_numpy(), KDTree(points)
     floor = queries["floor"].fillna(NEVER).to_numpy() if "floor" in queries else np.full(len(queries), NEVER)
+    # pandas has given floors as doubles: a great one may have been rounded up.
+    floor = np.where(np.abs(floor) > 2.0**53, np.nextafter(floor, NEVER), floor)
     q, name, score = tree.search(asked, own, names, k, floor)
     order = np.lexsort((name, -score, q))
     q, name, score = q[order], name[order], score[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     q, name, score = (x[place < k] for x in (q, name, score))
-    score = np.array([min(_MAX, max(_MIN, int(x))) for x in score], dtype=np.int64) if score.dtype == object else score.astype(np.int64)
+    score = score.astype(np.int64)
     return pd.DataFrame({"query_id": own[q.astype(np.int64)], "vec_id": name, "score": score}).astype(np.int64)
 
 
@@ -122,7 +129,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     or non-finite component take no part. A repeated id is a candidate as often as it
     stands, but never its own query's, and is asked once per distinct vector.
     Vectors of unequal length are compared as if the shorter ended in zeros. Scores
-    beyond a long are given as the nearest long. An empty table gives no rows; other
+    beyond a long count as the nearest long, in the ranking too. An empty table gives no rows; other
     columns are ignored.
     """
     tune(vectors.sparkSession)
