@@ -202,62 +202,80 @@ def wratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
-def bisim(a: str, b: str) -> float:
-    """Bigram similarity: an alignment of bigrams (first letters doubled), half a point per equal letter."""
-    if not a or not b:
-        return float(a == b)
-    x, y = a[0] + a, b[0] + b
-    row = [0.0] * (len(b) + 1)
-    for i in range(1, len(x)):
-        last = 0.0
-        for j in range(1, len(y)):
-            s = last + ((x[i - 1] == y[j - 1]) + (x[i] == y[j])) / 2
-            last, row[j] = row[j], max(row[j], row[j - 1], s)
-    return row[-1] / max(len(a), len(b))
-
-
-# Letters that editex takes to sound alike.
-EDITEX_GROUPS = ("aeiouy", "bp", "ckq", "dt", "lr", "mn", "gj", "fpv", "sxz", "csz")
+def _before(codes: np.ndarray) -> np.ndarray:
+    """Each position's preceding code (the first is its own)."""
+    return np.concatenate([codes[:, :1], codes[:, :-1]], axis=1)
+
 
+def bisim_batch(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Bigram similarity: an alignment of bigrams (first letters doubled), half a point per equal letter."""
+    x, n = _codes(a, -1)
+    y, m = _codes(b, -2)
+    px, py = _before(x), _before(y)
+    row = np.zeros((y.shape[1] + 1, len(x)))
+    for i in range(x.shape[1]):
+        last = row[0].copy()
+        for j in range(y.shape[1]):
+            s = last + ((px[:, i] == py[:, j]).astype(float) + (x[:, i] == y[:, j])) / 2 * ((i < n) & (j < m))
+            last, row[j + 1] = row[j + 1].copy(), np.maximum(np.maximum(row[j + 1], row[j]), s)
+    most = np.maximum(n, m)
+    return np.where(np.minimum(n, m) > 0, row[-1] / np.maximum(most, 1), (n == m).astype(float))
 
-@lru_cache(maxsize=4096)
-def _editex_cost(a: str, b: str) -> int:
-    return 0 if a == b else 1 if any(a in g and b in g for g in EDITEX_GROUPS) else 2
 
+def _groups_cost(groups: tuple[str, ...], within: float, apart: float) -> np.ndarray:
+    """Cost of a pair of ASCII letters: 0 if equal, ``within`` if some group holds both, else ``apart``."""
+    cost = np.full((128, 128), apart)
+    for g in groups:
+        at = [ord(c) for c in g]
+        cost[np.ix_(at, at)] = within
+    np.fill_diagonal(cost, 0.0)
+    return cost
 
-def _editex_gap(a: str, b: str) -> int:
-    return 1 if a != b and a in "hw" else _editex_cost(a, b)
 
+def _letters_cost(cost: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    ascii_ = (p >= 0) & (p < 128) & (q >= 0) & (q < 128)
+    return np.where(ascii_, cost[np.where(ascii_, p, 0), np.where(ascii_, q, 0)], np.where(p == q, 0.0, cost.max()))
 
-def _aligned(a: str, b: str, gap: Callable, cost: Callable) -> float:
-    """Least cost of an alignment; ``gap`` takes a letter and the one before it."""
-    before = lambda s, i: s[i - 1] if i else s[i]
-    row = [0.0]
-    for j, d in enumerate(b):
-        row.append(row[-1] + gap(before(b, j), d))
-    for i, c in enumerate(a):
-        last, row[0] = row[0], row[0] + gap(before(a, i), c)
-        for j, d in enumerate(b):
-            here = min(row[j + 1] + gap(before(a, i), c), row[j] + gap(before(b, j), d), last + cost(c, d))
-            last, row[j + 1] = row[j + 1], here
-    return row[-1]
 
+def _aligned_batch(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, gap_x: np.ndarray, gap_y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Least cost of an alignment of each row's names; gaps are given per position."""
+    rows = np.arange(len(x))
+    row = np.concatenate([np.zeros((1, len(x))), np.cumsum(gap_y, axis=1).T])
+    out = row[m, rows].copy()
+    for i in range(x.shape[1]):
+        last = row[0].copy()
+        row[0] += gap_x[:, i]
+        for j in range(y.shape[1]):
+            here = np.minimum(np.minimum(row[j + 1] + gap_x[:, i], row[j] + gap_y[:, j]), last + _letters_cost(cost, x[:, i], y[:, j]))
+            last, row[j + 1] = row[j + 1].copy(), here
+        out = np.where(n == i + 1, row[m, rows], out)
+    return out
 
-def editex(a: str, b: str) -> float:
-    most = 2 * max(len(a), len(b))
-    gap = lambda p, c: max(1, _editex_gap(p, c))
-    return max(0.0, 1 - _aligned(a, b, gap, _editex_cost) / most) if most else 1.0
 
+# Letters that editex takes to sound alike, and letters it takes as silent.
+EDITEX_GROUPS = ("aeiouy", "bp", "ckq", "dt", "lr", "mn", "gj", "fpv", "sxz", "csz")
+EDITEX_SILENT = "hw"
 
 # Letters that look alike in print or handwriting; a swap within a group costs this much.
 VISUAL_GROUPS = ("ilj1t", "oc0eaq", "mn", "uvyw", "bdh6", "pqg9", "sz5", "rn", "kx", "ft")
 VISUAL_COST = 0.4
 
+_EDITEX, _VISUAL = _groups_cost(EDITEX_GROUPS, 1.0, 2.0), _groups_cost(VISUAL_GROUPS, VISUAL_COST, 1.0)
+
+
+def editex_batch(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """1 - editex over its greatest value; a gap costs as much as a swap with the letter before, at least 1, and 1 for silent letters."""
+    (x, n), (y, m) = _codes(a, -1), _codes(b, -2)
+    silent = [ord(c) for c in EDITEX_SILENT]
+    gap = lambda c: np.where(np.isin(c, silent), 1.0, np.maximum(1.0, _letters_cost(_EDITEX, _before(c), c)))
+    most = 2 * np.maximum(n, m)
+    return np.where(most > 0, np.maximum(0.0, 1 - _aligned_batch(x, n, y, m, gap(x), gap(y), _EDITEX) / np.maximum(most, 1)), 1.0)
+
 
-def visual_weighted(a: str, b: str) -> float:
-    cost = lambda c, d: 0.0 if c == d else VISUAL_COST if any(c in g and d in g for g in VISUAL_GROUPS) else 1.0
-    most = max(len(a), len(b))
-    return 1 - _aligned(a, b, lambda p, c: 1.0, cost) / most if most else 1.0
+def visual_batch(a: pd.Series, b: pd.Series) -> np.ndarray:
+    (x, n), (y, m) = _codes(a, -1), _codes(b, -2)
+    most = np.maximum(n, m)
+    return np.where(most > 0, 1 - _aligned_batch(x, n, y, m, np.ones(x.shape), np.ones(y.shape), _VISUAL) / np.maximum(most, 1), 1.0)
 
 
 # Articulation of sounds on ALINE's scales. Consonants: place, manner, voiced, nasal, lateral, retroflex.
@@ -297,7 +315,8 @@ ALINE_KONDRAK = {"skip": -10, "substitute": 35, "expand": 45, "vowel": 10, "plac
 ALINE_STRESS = ALINE_KONDRAK | {"stress": 10, "vowel": 5}
 
 
-def _segments(ipa: str) -> list[tuple[str, bool]]:
+@lru_cache(maxsize=65536)
+def _segments(ipa: str) -> tuple[tuple[str, bool], ...]:
     out, stressed = [], False
     for c in ipa:
         if c == "ˈ":
@@ -305,7 +324,7 @@ def _segments(ipa: str) -> list[tuple[str, bool]]:
         elif c in SOUNDS:
             out.append((c, stressed and SOUNDS[c][0]))
             stressed = stressed and not SOUNDS[c][0]
-    return out
+    return tuple(out)
 
 
 def _apart(p: str, q: str, w: dict) -> float:
@@ -318,36 +337,44 @@ def _apart(p: str, q: str, w: dict) -> float:
     return sum(w[k] * abs(x[i] - y[i]) for i, k in ((1, "place"), (2, "manner"), (3, "voice"), (4, "nasal"), (5, "lateral"), (6, "retroflex")))
 
 
-def aline_score(a: str, b: str, w: dict) -> float:
+@lru_cache(maxsize=65536)
+def _swap(s: tuple[str, bool], t: tuple[str, bool], stress: bool) -> float:
+    """Score of one sound against one."""
+    w = ALINE_STRESS if stress else ALINE_KONDRAK
+    vowels = SOUNDS[s[0]][0] + SOUNDS[t[0]][0]
+    return w["substitute"] - _apart(s[0], t[0], w) - w["vowel"] * vowels - w["stress"] * (s[1] != t[1])
+
+
+@lru_cache(maxsize=262144)
+def _spread(s: tuple[str, bool], t: tuple[str, bool], u: tuple[str, bool], stress: bool) -> float:
+    """Score of one sound against two."""
+    w = ALINE_STRESS if stress else ALINE_KONDRAK
+    vowels = SOUNDS[s[0]][0] + max(SOUNDS[t[0]][0], SOUNDS[u[0]][0])
+    return w["expand"] - _apart(s[0], t[0], w) - _apart(s[0], u[0], w) - w["vowel"] * vowels
+
+
+def aline_score(a: str, b: str, stress: bool) -> float:
     """Best global alignment with skips, substitutions, and one sound against two."""
-    x, y = _segments(a), _segments(b)
-    vowel = lambda s: w["vowel"] if SOUNDS[s[0]][0] else 0
-    sub = lambda s, t: w["substitute"] - _apart(s[0], t[0], w) - vowel(s) - vowel(t) - w["stress"] * (s[1] != t[1])
-    two = lambda s, t, u: w["expand"] - _apart(s[0], t[0], w) - _apart(s[0], u[0], w) - vowel(s) - max(vowel(t), vowel(u))
-    n, m = len(x), len(y)
-    t = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i + j == 0:
-                continue
-            best = []
-            if i:
-                best.append(t[i - 1][j] + w["skip"])
+    x, y, skip = _segments(a), _segments(b), (ALINE_STRESS if stress else ALINE_KONDRAK)["skip"]
+    older, old = None, [skip * j for j in range(len(y) + 1)]
+    if len(x) == 0:
+        return float(old[-1])
+    for i, s in enumerate(x):
+        row = [old[0] + skip]
+        for j, t in enumerate(y):
+            best = max(old[j + 1] + skip, row[j] + skip, old[j] + _swap(s, t, stress))
             if j:
-                best.append(t[i][j - 1] + w["skip"])
-            if i and j:
-                best.append(t[i - 1][j - 1] + sub(x[i - 1], y[j - 1]))
-            if i and j > 1:
-                best.append(t[i - 1][j - 2] + two(x[i - 1], y[j - 2], y[j - 1]))
-            if i > 1 and j:
-                best.append(t[i - 2][j - 1] + two(y[j - 1], x[i - 2], x[i - 1]))
-            t[i][j] = max(best)
-    return t[n][m]
+                best = max(best, old[j - 1] + _spread(s, y[j - 1], t, stress))
+            if older:
+                best = max(best, older[j] + _spread(t, x[i - 1], s, stress))
+            row.append(best)
+        older, old = old, row
+    return float(old[-1])
 
 
 @lru_cache(maxsize=65536)
 def _aline_self(a: str, stress: bool) -> float:
-    return aline_score(a, a, ALINE_STRESS if stress else ALINE_KONDRAK)
+    return aline_score(a, a, stress)
 
 
 def aline(a: str, b: str, stress: bool = False) -> float:
@@ -355,7 +382,7 @@ def aline(a: str, b: str, stress: bool = False) -> float:
     if not _segments(a) or not _segments(b):
         return float(not _segments(a) and not _segments(b))
     whole = _aline_self(a, stress) + _aline_self(b, stress)
-    return min(1.0, max(0.0, 2 * aline_score(a, b, ALINE_STRESS if stress else ALINE_KONDRAK) / whole))
+    return min(1.0, max(0.0, 2 * aline_score(a, b, stress) / whole))
 
 
 def aline_stress(a: str, b: str) -> float:
@@ -415,14 +442,14 @@ def soundex_similarity(a, b) -> Column:
 
 #: Spelling scores by stem; more can be registered.
 ORTHOGRAPHIC: dict[str, Callable[..., Column]] = {
-    "bisim": lambda a, b: pair_udf(bisim)(_col(a), _col(b)),
-    "editex": lambda a, b: pair_udf(editex)(_col(a), _col(b)),
+    "bisim": lambda a, b: batch_udf(bisim_batch)(_col(a), _col(b)),
+    "editex": lambda a, b: batch_udf(editex_batch)(_col(a), _col(b)),
     "lcsubstring": substring_similarity,
     "lcsuf": suffix_similarity,
     "levenshtein": levenshtein_similarity,
     "levenshtein_consonant": levenshtein_consonant,
     "prefix": prefix_similarity,
-    "visual_weighted": lambda a, b: pair_udf(visual_weighted)(_col(a), _col(b)),
+    "visual_weighted": lambda a, b: batch_udf(visual_batch)(_col(a), _col(b)),
 }
 
 #: Sound scores by stem, and the languages whose transcriptions they compare.

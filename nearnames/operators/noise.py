@@ -9,7 +9,7 @@ from nearnames.config import UNLABELED, Config
 from nearnames.functions import distance, phonetics
 from nearnames.functions.text import is_qualifier_pair, normalize, ordered_hash
 from nearnames.operators.graph import connected_components
-from nearnames.operators.pairs import normal_pairs, outside, random_pairs, vocabulary, without_pairs, without_variants
+from nearnames.operators.pairs import normal_pairs, numbered, outside, random_pairs, vocabulary, without_pairs, without_variants
 from nearnames.runtime import discard, materialise
 
 U = ["x_1", "x_2", "similarity", "tier", "label"]
@@ -83,10 +83,8 @@ def tier_1(members: DataFrame, ranks: DataFrame, free: DataFrame, positive: Data
 
 def tier_2_slices(free: DataFrame, ranks: DataFrame, each: int, seed: int) -> DataFrame:
     """(name, rank): cluster k gets the k-th run of ``each`` free names in shuffled order."""
-    most = ranks.count() * each
-    first = free.select("name").orderBy(ordered_hash(seed + 1, "name"), "name").limit(most)  # no more than sample_size names
-    order = Window.orderBy(ordered_hash(seed + 1, "name"), "name")
-    return first.withColumn("__k", F.row_number().over(order) - 1).select("name", F.floor(F.col("__k") / each).cast("int").alias("rank"))
+    rows = numbered(free.select("name"), seed + 1, "name", into="__k").where(F.col("__k") < ranks.count() * each)
+    return rows.select("name", F.floor(F.col("__k") / each).cast("int").alias("rank"))
 
 
 def tier_2(claimed: DataFrame, slices: DataFrame, ranks: DataFrame, positive: DataFrame, codes: DataFrame, cfg: Config) -> DataFrame:
@@ -135,9 +133,7 @@ def make_noise(pairs: DataFrame, registry: DataFrame, cfg: Config = Config(), na
     if not num:
         raise ValueError("no positive pairs")
     per = tier_targets(positives_per_cluster(positive, members), num, cfg)
-    # One row per cluster; the order of clusters is one sort of those rows.
-    order = Window.orderBy(ordered_hash(cfg.seed, "cluster_id"), "cluster_id")
-    ranks = materialise(per.withColumn("rank", F.row_number().over(order) - 1), "ranks")
+    ranks = materialise(numbered(per, cfg.seed, "cluster_id", into="rank").withColumn("rank", F.col("rank").cast("int")), "ranks")
     free = outside(registry, positive, name).withColumn("pos", ordered_hash(cfg.seed, "name"))
     free = materialise(free, "outside")
     codes = materialise(phonetics.sound_codes(members.select("name").union(free.select("name"))), "codes")

@@ -124,8 +124,7 @@ def random_pairs(names: DataFrame, count: int, excluded: list[DataFrame], seed:
     """
     spark = names.sparkSession
     distinct = names.select(normalize(name).alias("name")).where("name IS NOT NULL").distinct()
-    # Global positions without gathering: a range sort numbers its partitions' rows, offsets come from their counts.
-    ranked = _numbered(distinct, "name")
+    ranked = numbered(distinct, seed, "name")
     n = ranked.count()
     possible = n * (n - 1) // 2
     if count > possible:
@@ -145,10 +144,15 @@ def random_pairs(names: DataFrame, count: int, excluded: list[DataFrame], seed:
         factor *= 4
 
 
-def _numbered(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
-    """(column, k): a distinct number from 0 for each row, by hashed buckets and their offsets."""
-    rows = df.withColumn("bucket", F.pmod(F.xxhash64(column), F.lit(buckets)))
-    within = Window.partitionBy("bucket").orderBy(column)
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # at most ``buckets`` rows
-    return rows.withColumn("r", F.row_number().over(within) - 1).join(F.broadcast(base), "bucket").select(column, (F.col("base") + F.col("r")).alias("k"))
+def numbered(df: DataFrame, seed: int, *by: str, into: str = "k") -> DataFrame:
+    """Number all rows from 0 in the md5 order of ``by``, without gathering them.
+
+    The first three digits of the md5 cut the order into at most 4,096 ranges; rows are
+    numbered within their range, and the ranges' counts give their offsets.
+    """
+    rows = df.withColumn("__h", ordered_hash(seed, *by)).withColumn("__range", F.left("__h", F.lit(3)))
+    within = Window.partitionBy("__range").orderBy("__h", *by)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    out = rows.withColumn("__r", F.row_number().over(within) - 1).join(F.broadcast(base), "__range")
+    return out.withColumn(into, (F.col("__base") + F.col("__r")).cast("long")).drop("__h", "__range", "__r", "__base")

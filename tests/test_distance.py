@@ -57,7 +57,38 @@ def test_wratio(a, b, score):
     assert D.wratio(a, b) == pytest.approx(score)
 
 
-@pytest.mark.parametrize("f", [D.bisim, D.editex, D.visual_weighted, D.aline, D.aline_stress])
+def single(batch):
+    return lambda a, b: float(batch(pd.Series([a]), pd.Series([b]))[0])
+
+
+def plain_alignment(a, b, gap, cost):
+    t = {(0, 0): 0.0}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i or j:
+                t[i, j] = min(
+                    t[i - 1, j] + gap(a[max(i - 2, 0)], a[i - 1]) if i else 1e9, t[i, j - 1] + gap(b[max(j - 2, 0)], b[j - 1]) if j else 1e9, t[i - 1, j - 1] + cost(a[i - 1], b[j - 1]) if i and j else 1e9
+                )
+    return t[len(a), len(b)]
+
+
+def test_batches_equal_plain_alignments():
+    a, b = words(150, 9, "abhklmwñ"), words(151, 9, "abhklmwñ")[:150]
+    alike = lambda groups, w, far: lambda c, d: 0 if c == d else w if any(c in g and d in g for g in groups) else far
+    sound, look = alike(D.EDITEX_GROUPS, 1, 2), alike(D.VISUAL_GROUPS, D.VISUAL_COST, 1)
+    for x, y, e, v in zip(a, b, D.editex_batch(pd.Series(a), pd.Series(b)), D.visual_batch(pd.Series(a), pd.Series(b)), strict=True):
+        most = max(len(x), len(y))
+        if most:
+            assert e == pytest.approx(max(0, 1 - plain_alignment(x, y, lambda p, c: 1 if c in "hw" else max(1, sound(p, c)), sound) / (2 * most)))
+            assert v == pytest.approx(1 - plain_alignment(x, y, lambda p, c: 1, look) / most)
+
+
+def test_bisim_by_hand():
+    assert single(D.bisim_batch)("abc", "abd") == pytest.approx(2.5 / 3)
+    assert single(D.bisim_batch)("", "") == 1 and single(D.bisim_batch)("", "a") == 0
+
+
+@pytest.mark.parametrize("f", [single(D.bisim_batch), single(D.editex_batch), single(D.visual_batch), D.aline, D.aline_stress])
 def test_measures_are_symmetric_and_one_on_equal_names(f):
     for a, b in zip(words(60), words(61), strict=False):
         assert f(a, a) == pytest.approx(1)
