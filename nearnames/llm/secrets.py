@@ -2,7 +2,9 @@
 
 One scan per text finds candidate spans and hashes their values. Hashes are then
 counted over the whole corpus by distinct repositories and distinct owners. A
-value that many owners hold is a copied example; one that few hold is live-looking.
+value that many owners hold, in many repositories, is a widely copied example; any
+other is live-looking. Where the table names no repositories, each distinct text is
+one, so copies of one leaking text do not make its secret an example.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from nearnames.runtime import materialise, tune
 
 KINDS = ("assign", "access", "hex")
-#: A value held by more owners than this is an example.
-LIVE_OWNERS = 1
+#: A value held by as many owners, in as many repositories, is an example.
+EXAMPLE_OWNERS = EXAMPLE_REPOS = 8
 #: Parts into which the rows of one hash are split for the join with its counts.
 SALT = 16
 #: Rows with live spans up to this many are broadcast (about 100 bytes each); more are joined by shuffle.
@@ -43,23 +45,23 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, live_owners: int = LIVE_OWNERS) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS
+) -> DataFrame:
     """A row per row of ``docs`` with its spans and how many of them look live.
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example,
-    live_spans (spans whose value at most ``live_owners`` owners hold), min_owners,
-    max_repos. ``repo_col`` is the id unless given. A null owner or repository counts
-    as one more owner or repository. Null and empty texts have no spans. Texts of any
-    length are scanned whole. Repeated rows and null ids give a row each (a repeated
-    row is no further repository); an empty table gives none; other columns are
-    ignored.
+    live_spans (those whose value is no example), min_owners, max_repos. A null owner
+    or repository counts as one more owner or repository. Null and empty texts have no spans. Texts of any
+    length are scanned whole. Repeated rows and null ids give a row each; an empty table
+    gives none; other columns are ignored.
     """
     tune(docs.sparkSession)
     kept = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"),
-        F.coalesce(F.col(repo_col or id_col).cast("string"), F.lit("\0")).alias("repo"),
+        (F.coalesce(F.col(repo_col).cast("string"), F.lit("\0")) if repo_col else F.xxhash64(F.col(text_col)).cast("string")).alias("repo"),
     )
     kind = kept.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<span:string,hash:binary>>"
@@ -88,7 +90,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     repos = each.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
     counts = owners.join(repos, "hash").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    live = F.col("owners") <= live_owners
+    live = (F.col("owners") < example_owners) | (F.col("repos") < example_repos)
     verdict = (
         each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
         .join(counts, ["hash", "salt"])
@@ -111,16 +113,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mask_live(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, live_owners: int = LIVE_OWNERS, mark: str = "[SECRET]"
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None,
+    example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, mark: str = "[SECRET]",
+) -> DataFrame:
     """``docs``, all rows and columns, with live-looking spans replaced by ``mark``.
 
-    An assignment loses its value only. A value is live-looking in all of its texts or
-    in none. Values of copied examples are few per owner but many in all, so only their
-    16-byte hashes travel, and only to rows that hold a candidate. Null texts stay null.
+    An assignment loses its value only. A value is live-looking in all of its texts or in
+    none. Null texts stay null; an empty table stays empty. Rows with one id share their
+    verdicts, by span.
     """
     verdicts = materialise(
-        scan_secrets(docs, id_col, text_col, owner_col, repo_col, live_owners).where("live_spans <> ''").select(F.col("doc_id").alias("__id"), F.col("live_spans").alias("__live")).distinct(),
+        scan_secrets(docs, id_col, text_col, owner_col, repo_col, example_owners, example_repos).where("live_spans <> ''").select(F.col("doc_id").alias("__id"), F.col("live_spans").alias("__live")).distinct(),
         "secrets",
     )
     few = verdicts.count() <= FEW_ROWS
