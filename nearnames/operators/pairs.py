@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +158,10 @@ def numbered(df: DataFrame, seed: int, *by: str, into: str = "k") -> DataFrame:
     base = rows.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     out = rows.withColumn("__r", F.row_number().over(within) - 1).join(F.broadcast(base), "__range")
     return out.withColumn(into, (F.col("__base") + F.col("__r")).cast("long")).drop("__h", "__range", "__r", "__base")
+
+
+def slice_of(df: DataFrame, count: int, seed: int, pos: str = "pos") -> DataFrame:
+    """Up to ``count`` rows of consecutive positions, from a seeded start, to look at."""
+    last = df.agg(F.max(pos)).first()[0] or 0
+    start = random.Random(seed).randint(0, max(0, last + 1 - count))
+    return df.where(F.col(pos).between(start, start + count - 1))
