@@ -17,6 +17,7 @@ from nearnames.config import Config
 from nearnames.operators import noise, proposer, relabel, scoring
 from nearnames.operators.pairs import label_counts
 from nearnames.plans import pipeline
+from nearnames.runtime import release
 from nearnames.sources import io
 
 
@@ -195,9 +196,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv or ["all"])
     if args.command is None:
         args = parser().parse_args(["all", *argv])
-    spark = spark or SparkSession.builder.appName("nearnames").getOrCreate()
+    own, spark = spark is None, spark or SparkSession.builder.appName("nearnames").getOrCreate()
     try:
         getattr(Run(spark, args), args.command.replace("-", "_"))()
+        if own:
+            release(spark)
     except (FileNotFoundError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -278,6 +278,28 @@ def visual_batch(a: pd.Series, b: pd.Series) -> np.ndarray:
     return np.where(most > 0, 1 - _aligned_batch(x, n, y, m, np.ones(x.shape), np.ones(y.shape), _VISUAL) / np.maximum(most, 1), 1.0)
 
 
+def wratio_batch(a: pd.Series, b: pd.Series, least: float = 0.0) -> np.ndarray:
+    """``wratio`` of pairs; NaN where it is surely under ``least``.
+
+    For two single words of like length it is their ratio, which a batch gives at once.
+    For unlike lengths no window can share more than the whole names do, which bounds
+    the partial ratio; only pairs whose bound reaches ``least`` are looked at alone.
+    """
+    a, b = a.fillna(""), b.fillna("")
+    n, m = a.str.len().to_numpy(), b.str.len().to_numpy()
+    same, total = lcs_batch(a, b)
+    out = np.where(total > 0, 200.0 * same / np.maximum(total, 1), 100.0)
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    single = (low > 0) & ~(a.str.contains(r"\s", regex=True) | b.str.contains(r"\s", regex=True)).to_numpy()
+    like = high < 1.5 * low
+    bound = np.maximum(out, 0.9 * 200.0 * same / np.maximum(low + same, 1))
+    hopeless = single & ~like & (bound < least)
+    for i in np.flatnonzero(~(single & like) & ~hopeless):
+        out[i] = wratio(a.iat[i], b.iat[i])
+    out[hopeless] = np.nan
+    return out
+
+
 # Articulation of sounds on ALINE's scales. Consonants: place, manner, voiced, nasal, lateral, retroflex.
 _PLACE = {"bilabial": 1.0, "labiodental": 0.95, "dental": 0.9, "alveolar": 0.85, "retroflex": 0.8, "postalveolar": 0.75, "palatal": 0.7, "velar": 0.6, "uvular": 0.5, "glottal": 0.1}
 _MANNER = {"stop": 1.0, "affricate": 0.9, "fricative": 0.85, "approximant": 0.6, "high": 0.4, "mid": 0.2, "low": 0.0}
@@ -418,8 +440,14 @@ def ratio_column(a, b) -> Column:
     return batch_udf(ratio_batch)(_col(a), _col(b))
 
 
-def wratio_column(a, b) -> Column:
-    return pair_udf(wratio)(_col(a), _col(b))
+def wratio_column(a, b, least: float = 0.0) -> Column:
+    """``wratio``; null where it is surely under ``least``."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(wratio_batch(x, y, least), dtype=float)  # NaN arrives as null
+
+    return run(_col(a), _col(b))
 
 
 def leading_words(a, b) -> Column:

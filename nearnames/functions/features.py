@@ -18,12 +18,19 @@ def len_diff(a, b) -> Column:
     return F.abs(F.length(_col(a)) - F.length(_col(b)))
 
 
+#: Prefix lengths that are told apart by plain comparisons, which stop at the first that fails.
+_UNROLLED = 24
+
+
 def common_prefix_len(a, b) -> Column:
     a, b = _col(a), _col(b)
     n = F.least(F.length(a), F.length(b))
     parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     at = F.array_position(parts, True)
-    return F.when(n == 0, 0).when(at == 0, n).otherwise(at - 1).cast("int")
+    out = F.when(a == b, n)
+    for k in range(1, _UNROLLED + 1):
+        out = out.when(F.left(a, F.lit(k)) != F.left(b, F.lit(k)), k - 1)
+    return out.otherwise(F.when(at == 0, n).otherwise(at - 1)).cast("int")
 
 
 def common_suffix_len(a, b) -> Column:
@@ -93,6 +100,21 @@ def spelling_features(a: str, b: str) -> dict[str, Column]:
     }
 
 
+def name_counts(x) -> Column:
+    """What the spelling features need to know of one name, to be made once per name."""
+    x = _col(x)
+    return F.struct(F.length(x).alias("n"), F.reverse(x).alias("back"), syllables(x).alias("syllables"), vowels(x).alias("vowels"), consonants(x).alias("consonants"))
+
+
+def spelling_from_counts(a: str, b: str, p: Column, q: Column) -> dict[str, Column]:
+    """``spelling_features`` of two names whose ``name_counts`` are p and q."""
+    gap = lambda k: F.abs(p[k] - q[k])
+    return {
+        "len_diff": gap("n"), "common_prefix_len": common_prefix_len(a, b), "common_suffix_len": common_prefix_len(p["back"], q["back"]),
+        "syllable_diff": gap("syllables"), "vowel_count_diff": gap("vowels"), "consonant_count_diff": gap("consonants"),
+    }
+
+
 def add_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Append columns in order; one that is there already stays as it is."""
     return df.select("*", *[c.alias(k) for k, c in columns.items() if k not in df.columns])

@@ -42,8 +42,10 @@ def similar_enough(pairs: DataFrame, codes: DataFrame, threshold: float) -> Data
         part = codes.select(F.col("name").alias(f"x_{s}"), F.col("soundex").alias(f"__s{s}"), F.col("metaphone").alias(f"__m{s}"))
         pairs = pairs.join(part, f"x_{s}", "left")
     alike = ((F.col("__s1") != "") & (F.col("__s1") == F.col("__s2"))) | ((F.col("__m1") != "") & (F.col("__m1") == F.col("__m2")))
-    scored = pairs.withColumn("similarity", distance.wratio_column("x_1", "x_2"))
-    return scored.where((F.col("similarity") >= threshold) | F.coalesce(alike, F.lit(False))).drop("__s1", "__s2", "__m1", "__m2")
+    scored = pairs.withColumn("__alike", F.coalesce(alike, F.lit(False))).withColumn("similarity", distance.wratio_column("x_1", "x_2", threshold))
+    kept = scored.where((F.col("similarity") >= threshold) | F.col("__alike")).drop("__s1", "__s2", "__m1", "__m2", "__alike")
+    # The few that only sound alike may have been passed over: theirs is worked out now.
+    return kept.withColumn("similarity", F.coalesce("similarity", distance.wratio_column("x_1", "x_2")))
 
 
 def claim(qualifying: DataFrame, caps: str = "cap") -> DataFrame:

@@ -120,6 +120,14 @@ def lexicon_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
     return q.join(F.broadcast(n) if n.count() <= FEW_NAMES else n, F.col("x_1") != F.col("x_2"))
 
 
+def lexicon_spelling(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Spelling features of every query with every other name; counts are made per name, before the join."""
+    q = queries.select(F.col("name").alias("x_1"), features.name_counts("name").alias("__1"))
+    n = names.select(F.col("name").alias("x_2"), features.name_counts("name").alias("__2"))
+    met = q.join(F.broadcast(n) if names.count() <= FEW_NAMES else n, F.col("x_1") != F.col("x_2"))
+    return features.add_missing(met, features.spelling_from_counts("x_1", "x_2", F.col("__1"), F.col("__2"))).drop("__1", "__2")
+
+
 def lexicon_scores(queries: DataFrame, names: DataFrame, transcripts: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
     """Scored pool of every query with every name; features are floats, no engineered columns."""
     pool = lookup(lexicon_pairs(queries, names), transcripts, [f"t_{x}" for x in langs if x != "fil"])

@@ -316,7 +316,7 @@ def leading_word_jw(spark, sf):
 
 @query(_with(f"SELECT {_SPELL} FROM lex", "lex"))
 def engineered_orthographic(spark, sf):
-    return features.add_missing(scoring.lexicon_pairs(pairs.vocabulary(fx.positives(spark, sf)), fx.names(spark, sf)), features.spelling_features("x_1", "x_2"))
+    return scoring.lexicon_spelling(pairs.vocabulary(fx.positives(spark, sf)), fx.names(spark, sf))
 
 
 def _scores(spark, sf, f):

@@ -67,3 +67,13 @@ def discard(df: DataFrame | None) -> None:
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder.
+
+    For the end of an application: lazy results that read such tables end with them.
+    """
+    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

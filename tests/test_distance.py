@@ -161,3 +161,16 @@ def test_wrong_number_of_results_raises(spark):
 def test_leading_words(spark):
     df = spark.createDataFrame([("foo bar baz", "qux quux"), ("foo", "")], "a string, b string")
     assert [r[0] for r in df.select(D.leading_words(F.col("a"), F.col("b"))).collect()] == ["foo bar", ""]
+
+
+def test_wratio_batch_equals_pairs():
+    a, b = words(300, 12, "ab c") + ["", "x"], words(301, 12, "ab c")[:300] + ["x", ""]
+    got = D.wratio_batch(pd.Series(a), pd.Series(b))
+    assert all(g == pytest.approx(D.wratio(x, y)) for g, x, y in zip(got, a, b, strict=True))
+    some = D.wratio_batch(pd.Series(a), pd.Series(b), 65)
+    assert all(abs(g - s) < 1e-9 if not np.isnan(s) else g < 65 for g, s in zip(got, some, strict=True)) and np.isnan(some).any()
+
+
+def test_wratio_column_gives_null_below(spark):
+    df = spark.createDataFrame([("abcdefghij", "xyz"), ("abc", "abd")], "a string, b string")
+    assert [r[0] for r in df.select(D.wratio_column("a", "b", 65.0)).collect()] == [None, pytest.approx(200 / 3)]
