@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -35,6 +36,22 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+_slot: dict = {}
+
+
+def worker_state(key, make):
+    """What ``make`` gave for ``key``, kept in this Python worker until another key is asked for.
+
+    Workers outlive tasks and stages. With one place for all operators, a worker holds
+    the memo or model of the operator that it is running, not of all that it has run.
+    """
+    if key not in _slot:
+        _slot.clear()
+        gc.collect()
+        _slot[key] = make()
+    return _slot[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
