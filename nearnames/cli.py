@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     command("propose", "add similar names to the known pairs", "registry").add_argument("--input", help="seed pairs")
     command("noise", "sample unlabelled pairs", "registry", "labelled", "target", "soft")
     command("assemble", "merge the labelled sources", "soft")
-    command("phoc", "add score columns")
+    command("score", "add score columns")
     command("featurize", "all features of any pairs", "io")
     r = command("relabel", "apply reviewed label changes", "io")
     r.add_argument("--changes", required=True)
@@ -136,7 +136,7 @@ class Run:
         io.write_csv(pipeline.in_shuffled_order(pipeline.assemble(positive, u, rejected, self.cfg)), self.result("D.csv"))
         label_counts(io.read_csv(self.spark, self.result("D.csv"))).show()
 
-    def phoc(self) -> None:
+    def score(self) -> None:
         before = io.read_csv(self.spark, self.need("D.csv", "assemble"))
         after = pipeline.features(before)
         io.write_csv(after, self.result("D_pho.csv"))
@@ -147,7 +147,7 @@ class Run:
             self.propose()
         self.noise()
         self.assemble()
-        self.phoc()
+        self.score()
 
     def featurize(self) -> None:
         a = self.args

@@ -44,7 +44,7 @@ def test_propose_and_featurize(spark, data):
 
 
 def test_errors(spark, data, capsys):
-    assert run(spark, data, "phoc") == 1
+    assert run(spark, data, "score") == 1
     assert "assemble" in capsys.readouterr().err
     assert run(spark, data, "noise", "--rejected", "x.csv", "--no-soft-labels") == 1
 
