@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -39,6 +41,12 @@ def tune(spark: SparkSession) -> None:
 _slot: dict = {}
 
 
+def _trim() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def worker_state(key, make):
     """What ``make`` gave for ``key``, kept in this Python worker until another key is asked for.
 
@@ -46,8 +54,10 @@ def worker_state(key, make):
     the memo or model of the operator that it is running, not of all that it has run.
     """
     if key not in _slot:
-        _slot.clear()
-        gc.collect()
+        if _slot:
+            _slot.clear()
+            gc.collect()
+            _trim()
         _slot[key] = make()
     return _slot[key]
 
