@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearnames.operators.graph import connected_components
-from nearnames.runtime import discard, materialise, tune
+from nearnames.runtime import discard, materialise, tune, worker_state
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -43,15 +43,14 @@ BINS = TREES * DEPTH
 SIGMAS = 5
 #: Nodes of a block, and of a group that is handled as a list.
 BLOCK, LIST = 512, 64
-#: Set entries (8 bytes each) that a task of small components gathers, on average.
-ENTRIES = 1_000_000
+#: What a unit of small groups gathers on average: set entries (8 bytes each) in the exact comparison, rows in the estimate.
+ENTRIES, UNIT_ROWS = 200_000, 2_000
 #: Ids up to this many are broadcast (8 bytes each); more are joined by shuffle.
 FEW_IDS = 2_000_000
-MEMO = 1_000_000
+MEMO = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.random.default_rng(5).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 _PROBES = np.random.default_rng(6).integers(0, BINS, size=(64, BINS))
-_words: dict[str, int] = {}
 
 
 def prefix_depth(threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -72,13 +71,14 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
     A text of fewer words has one shingle, all of it; a text without words has none.
     """
-    if len(_words) > MEMO:
-        _words.clear()
+    known: dict[str, int] = worker_state("shingles", dict)
+    if len(known) > MEMO:
+        known.clear()
     cut = [t.lower().split() for t in texts]
-    for w in set(itertools.chain.from_iterable(cut)).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    for w in set(itertools.chain.from_iterable(cut)).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
     n = np.array([len(c) for c in cut])
-    flat = np.fromiter(map(_words.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.uint64, count=int(n.sum()))
+    flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.uint64, count=int(n.sum()))
     size = max(0, len(flat) - words + 1)
     rolled = np.zeros(size, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -215,7 +215,7 @@ def _candidates(classes: DataFrame, threshold: float, miss: float) -> DataFrame:
     many = met.where(F.col("m") > LIST).select("key", "node", "m")
     both = few.withColumn("kind", F.lit(0)).unionByName(many.withColumn("kind", F.lit(1)))
     total = met.count()
-    parts = max(1, total // 20_000)
+    parts = max(1, total // UNIT_ROWS)
     dealt = _blocks(both, "m", BLOCK).withColumn("unit", F.when(F.col("m") <= LIST, F.pmod("key", F.lit(parts))).otherwise(F.xxhash64("key", "p", "q")))
     rows = dealt.join(classes.select("node", "sig"), "node").select("unit", "kind", "key", "p", "q", "b", "node", "sig")
 

@@ -12,38 +12,46 @@ however much text it has read.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearnames.runtime import tune
+from nearnames.runtime import tune, worker_state
 
 DIM = 1024
 SEED = 11
 #: Symbols: 0 is all that is no letter, 1 to 26 are a to z, other letters share the rest by code point.
 SYMBOLS = 64
 UNKNOWN = "und"
-CHUNK = 128
+CHUNK = 64
 #: Languages whose prototypes (8 kB each) the driver and workers may hold.
 MOST_LANGUAGES = 10_000
 _TRIGRAMS = SYMBOLS**3
 
 
-@functools.cache
 def symbol_table() -> np.ndarray:
+    return worker_state("language", _tables)[0]
+
+
+def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters' vectors as first, middle and last letter of a trigram."""
+    return worker_state("language", _tables)[1]
+
+
+def _tables() -> tuple:
+    return _symbol_table(), _letter_vectors()
+
+
+def _symbol_table() -> np.ndarray:
     table = np.zeros(0x110000, dtype=np.uint8)
-    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
+    letters = np.flatnonzero(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     table[letters] = 27 + (letters * 2654435761 % 2**32 >> 16) % (SYMBOLS - 27)
     table[97:123] = np.arange(1, 27)
     return table
 
 
-@functools.cache
-def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters' vectors as first, middle and last letter of a trigram."""
+def _letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIM))
     return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
 
@@ -95,8 +103,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         for lang, n in counts.items():
             total = np.zeros(DIM)
             there = np.flatnonzero(n)
-            for i in range(0, len(there), 8192):
-                total += n[there[i : i + 8192]] @ bound(there[i : i + 8192]).astype(np.float64)
+            for i in range(0, len(there), 1024):
+                total += n[there[i : i + 1024]] @ bound(there[i : i + 1024]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(total.astype(np.int64))], ["lang", "place", "value"])
 
     sums = kept.mapInArrow(run, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))

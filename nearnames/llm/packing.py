@@ -28,16 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearnames.runtime import materialise, tune
+from nearnames.runtime import materialise, tune, worker_state
 
 WINDOW = 2048
 #: Segments whose ids a worker keeps; the memo is emptied when full.
-MEMO = 1_000_000
+MEMO = 300_000
 _NEXT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
 #: Left to the library: characters on which Unicode tables may differ, and special strings.
 _HARD = re.compile("[^\\x00-\u024f]|<\\|")
-_workers: dict = {}
 
 
 class SegmentEncoder:
@@ -92,9 +91,7 @@ class SegmentEncoder:
 
 
 def encoder(path: str) -> SegmentEncoder:
-    if path not in _workers:
-        _workers[path] = SegmentEncoder(path)
-    return _workers[path]
+    return worker_state(("segments", path), lambda: SegmentEncoder(path))
 
 
 def fill(counts: dict[int, int], window: int) -> dict[int, int]:

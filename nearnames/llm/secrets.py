@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearnames.runtime import materialise, tune
+from nearnames.runtime import materialise, tune, worker_state
 
 KINDS = ("assign", "access", "hex")
 #: A value held by as many owners, in as many repositories, is an example.
@@ -67,6 +67,7 @@ def scan_secrets(
     schema = f"row long, doc_id {kind}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<span:string,hash:binary>>"
 
     def run(batches):
+        worker_state("secrets", dict)  # what other operators kept goes
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, n, sha, spans, found = [], ([], [], []), [], [], []

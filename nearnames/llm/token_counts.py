@@ -19,12 +19,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearnames.runtime import tune
+from nearnames.runtime import tune, worker_state
 
 LIMIT = 4096
-MEMO = 800_000
+MEMO = 500_000
 _RUN = re.compile(r" +[^ ]*")
-_workers: dict = {}
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -61,9 +60,7 @@ class PieceCounter:
 
 
 def counter(path: str) -> PieceCounter:
-    if path not in _workers:
-        _workers[path] = PieceCounter(path)
-    return _workers[path]
+    return worker_state(("counts", path), lambda: PieceCounter(path))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, limit: int = LIMIT) -> DataFrame:

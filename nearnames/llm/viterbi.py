@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearnames.llm.token_counts import pre_tokens
-from nearnames.runtime import tune
+from nearnames.runtime import tune, worker_state
 
 MEMO = 500_000
 MARK = "▁"
-_workers: dict = {}
 
 
 def pieces_of(path: str) -> list[tuple[str, float, str]]:
@@ -130,9 +129,7 @@ class Viterbi:
 
 
 def viterbi(path: str) -> Viterbi:
-    if path not in _workers:
-        _workers[path] = Viterbi(pieces_of(path))
-    return _workers[path]
+    return worker_state(("viterbi", path), lambda: Viterbi(pieces_of(path)))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True) -> DataFrame:
