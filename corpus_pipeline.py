@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return rows of ``docs`` with its columns; the last returns packed pieces. Every stage
 works on all rows that its predecessor kept.
 
-Null texts are rejected by the first stage (no language). Rows that repeat an id
+Null texts are rejected by the first stage (no language), and so are texts of no known language. Rows that repeat an id
 with the same text are one document from the third stage on.
 """
 
@@ -29,9 +29,8 @@ def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a recognisable language, or nearer to no language than to all, go."""
-    found = langid.identify(docs)
-    return _without(docs, found.select("doc_id", ((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).alias("kept")))
+    """Rows without a letter, and those less like their nearest language than nearly all its held-out texts, go."""
+    return _without(docs, langid.recognise(docs).select("doc_id", "kept"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearnames.runtime import tune, worker_state
+from nearnames.runtime import materialise, tune, worker_state
 
 DIM = 1024
 SEED = 11
@@ -27,6 +27,12 @@ UNKNOWN = "und"
 CHUNK = 64
 #: Languages whose prototypes (8 kB each) the driver and workers may hold.
 MOST_LANGUAGES = 10_000
+#: A text is recognised unless its score is below this quantile of its language's held-out texts.
+QUANTILE = 0.005
+#: Steps of score in which quantiles are counted.
+STEP = 0.0005
+#: Held-out texts that a language needs for a threshold of its own.
+LEAST = 20
 _TRIGRAMS = SYMBOLS**3
 
 
@@ -114,8 +120,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     return {r["lang"]: np.array(r["v"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["lang"]) if any(r["v"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score: a row per row of ``docs``.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """doc_id, lang_pred, score: a row per row of ``docs``; with ``lang_col`` its label too, as lang.
 
     ``score`` is (1 + cosine) / 2 of the best language, ties to the first in the
     alphabet. ``und`` with score 0 for null texts, texts without a letter, and where
@@ -123,7 +129,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     give a row each; an empty table gives none; other columns are ignored.
     """
     tune(docs.sparkSession)
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(lang_col).cast("string").alias("lang")] if lang_col else []))
     kind = kept.schema["doc_id"].dataType.simpleString()
     names = [*prototypes, UNKNOWN]
     unit = np.array([p / np.linalg.norm(p) for p in prototypes.values()]).reshape(len(prototypes), DIM)
@@ -148,9 +154,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 top = cos.argmax(axis=1)
                 best += [names[k] if n else names[-1] for k, n in zip(top.tolist(), letters.tolist(), strict=True)]
                 score += np.where(letters > 0, np.clip((1 + cos.max(axis=1)) / 2, 0, 1), 0.0).astype(float).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            own = [batch.column(2)] if lang_col else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), *own], ["doc_id", "lang_pred", "score", "lang"][: 3 + len(own)])
 
-    return kept.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double" + (", lang string" if lang_col else ""))
 
 
 def fold(id_col: str = "doc_id", folds: int = 5):
@@ -163,3 +170,30 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     prototypes = train(docs.where(~fold(id_col)), text_col, lang_col)
     out = predict(docs, prototypes, id_col, text_col)
     return out.select("doc_id", F.coalesce(fold("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang_pred, score, threshold, kept: as ``identify``, and whether a text is of the language it is nearest to.
+
+    The best of centred cosines is hardly ever negative, so a text is held against the
+    texts that were not trained on: ``threshold`` is the ``quantile`` of the scores of
+    all held-out rows that bear the language and are found to be of it. Languages with
+    fewer than ``LEAST`` of them take that of all languages together; without any,
+    every text with a letter is kept.
+    """
+    found = materialise(predict(docs, train(docs.where(~fold(id_col)), text_col, lang_col), id_col, text_col, lang_col), "language")
+    right = found.where(fold("doc_id") & (F.col("lang") == F.col("lang_pred")) & (F.col("score") > 0))
+    steps = right.groupBy("lang", F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
+    own = _thresholds(steps, ["lang"], quantile).where(F.col("total") >= LEAST).select(F.col("lang").alias("__lang"), F.col("threshold").alias("own"))
+    every = _thresholds(steps.groupBy("step").agg(F.sum("n").alias("n")), [], quantile).collect()
+    threshold = F.coalesce("own", F.lit(every[0]["threshold"] if every else 0.0))
+    judged = found.join(F.broadcast(own), F.col("lang_pred") == F.col("__lang"), "left")  # a row per language
+    return judged.select("doc_id", "lang_pred", "score", threshold.alias("threshold"), ((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= threshold)).alias("kept"))
+
+
+def _thresholds(steps: DataFrame, by: list[str], quantile: float) -> DataFrame:
+    """The lower end of the step in which each quantile lies, from (step, n)."""
+    upto, whole = Window.partitionBy(*by, F.lit(0)).orderBy("step"), Window.partitionBy(*by, F.lit(0))
+    run = steps.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(whole))
+    at = F.min(F.when(F.col("upto") >= F.col("total") * quantile, F.col("step"))) * STEP
+    return run.groupBy(*by).agg(F.first("total").alias("total"), at.alias("threshold")).where("threshold IS NOT NULL")

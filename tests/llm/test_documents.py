@@ -1,5 +1,6 @@
 """Sharding, secrets, language, quality, pipeline: laws, brute force, held-out accuracy."""
 
+import base64
 import hashlib
 import math
 import random
@@ -159,6 +160,22 @@ def test_language_inputs_are_only_texts(spark, awkward, empty):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_texts_of_no_language_go(spark, sf):
+    """Random letters, base64 and foreign texts go; clean labelled documents stay."""
+    import corpus_pipeline as C
+
+    rng = random.Random(6)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rng.choice([60, 300, 1000]))) for _ in range(60)]
+    coded = [base64.b64encode(rng.randbytes(300)).decode() for _ in range(30)]
+    foreign = ["Mieleni minun tekevi aivoni ajattelevi lahteani laulamahan saaani sanelemahan", "Litwo ojczyzno moja ty jestes jak zdrowie ile cie trzeba cenic ten tylko sie dowie", "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(letters + coded + foreign)], docs.schema)
+    left = {r["doc_id"] for r in C.language_id(spark, docs.union(junk), sf).collect()}
+    assert not [i for i in left if i >= 10**6]
+    clean = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 AND toxic = 0").collect()}
+    assert len(clean - left) <= 0.02 * len(clean)
+
+
 # ---------------------------------------------------------------- quality
 
 
