@@ -6,8 +6,9 @@
    Matched prefixes are shortened from the full string until the chance that a pair at
    the threshold matches in no trie is at most ``MISS``. Nodes under one prefix are
    candidates; groups that many tries repeat are kept once.
-3. Within a group, signatures alone estimate each pair; a spanning forest of the pairs
-   that may reach the threshold goes on, not the pairs.
+3. Within a group, signatures and set sizes alone estimate each pair (sizes alone where
+   a set is small); a spanning forest of the pairs that may reach the threshold goes on,
+   not the pairs.
 4. Each connected component of those is compared exactly, all pairs, in blocks of
    bounded size: an intersection count is a product of 0/1 matrices. Link counts are
    summed, and a spanning forest of the true links gives the groups.
@@ -41,6 +42,8 @@ MISS = 1e-4
 BINS = TREES * DEPTH
 #: Pairs whose estimate is this many standard deviations below the threshold still go on to the exact comparison.
 SIGMAS = 5
+#: Texts of fewer shingles fill too few bins for that estimate: any pair with one of them goes on that its sizes allow.
+SHORT = 64
 #: Nodes of a block, and of a group that is handled as a list.
 BLOCK, LIST = 512, 64
 #: What a unit of small groups gathers on average: set entries (8 bytes each) in the exact comparison, rows in the estimate.
@@ -51,6 +54,8 @@ MEMO = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.random.default_rng(5).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 _PROBES = np.random.default_rng(6).integers(0, BINS, size=(64, BINS))
+#: Each bin's own order of all bins, for those that no probe fills.
+_ORDER = np.random.default_rng(7).random((BINS, BINS)).argsort(axis=1).argsort(axis=1).astype(np.uint16)
 
 
 def prefix_depth(threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -114,9 +119,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         hit = full[r, probe[c]]
         source[r[hit], c[hit]] = probe[c[hit]]
         empty[r[hit], c[hit]] = False
-    for r in np.flatnonzero(empty.any(axis=1) & full.any(axis=1)):  # few shingles: the next full bin
+    for r in np.flatnonzero(empty.any(axis=1) & full.any(axis=1)):  # few shingles: the first full bin in the own order
         there, c = np.flatnonzero(full[r]), np.flatnonzero(empty[r])
-        source[r, c] = there[np.searchsorted(there, c) % len(there)]
+        source[r, c] = there[_ORDER[np.ix_(c, there)].argmin(axis=1)]
     with np.errstate(over="ignore"):
         return (_mix(np.take_along_axis(least, source, axis=1)) >> np.uint64(48)).astype("<u2")
 
@@ -138,14 +143,18 @@ def forest(a, b) -> list[tuple]:
     return out
 
 
-def likely(left: np.ndarray, right: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
-    """Forest edges (row of left, row of right) of pairs whose signatures may reach the threshold."""
+def likely(left: np.ndarray, right: np.ndarray | None, threshold: float, n_left: np.ndarray, n_right: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Forest edges (row of left, row of right) of pairs that may reach the threshold, by their numbers of shingles and their signatures."""
     least = (threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / BINS)) * BINS
-    other, i, j = left if right is None else right, [], []
-    for k, s in enumerate(left):
-        hit = np.flatnonzero((other[k + 1 if right is None else 0 :] == s).sum(axis=1) >= least)
+    other, n_other, i, j = (left, n_left, [], []) if right is None else (right, n_right, [], [])
+    for k, (s, n) in enumerate(zip(left, n_left, strict=True)):
+        begin = k + 1 if right is None else 0
+        m = n_other[begin:]
+        # No pair is more alike than the smaller set's share of the larger one.
+        fits = np.minimum(m, n) / np.maximum(m, n) >= threshold
+        hit = np.flatnonzero(fits & ((m < SHORT) | (n < SHORT) | ((other[begin:] == s).sum(axis=1) >= least)))
         i += [k] * len(hit)
-        j += (hit + (k + 1 if right is None else 0)).tolist()
+        j += (hit + begin).tolist()
     if right is None:
         return forest(i, j)
     return [(a, b - len(left)) for a, b in forest(i, [x + len(left) for x in j])]
@@ -217,18 +226,19 @@ def _candidates(classes: DataFrame, threshold: float, miss: float) -> DataFrame:
     total = met.count()
     parts = max(1, total // UNIT_ROWS)
     dealt = _blocks(both, "m", BLOCK).withColumn("unit", F.when(F.col("m") <= LIST, F.pmod("key", F.lit(parts))).otherwise(F.xxhash64("key", "p", "q")))
-    rows = dealt.join(classes.select("node", "sig"), "node").select("unit", "kind", "key", "p", "q", "b", "node", "sig")
+    rows = dealt.join(classes.select("node", "sig", "shingles"), "node").select("unit", "kind", "key", "p", "q", "b", "node", "sig", "shingles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, _, p, q), g in _runs(group, ["kind", "key", "p", "q"]):
             nodes = g["node"].to_numpy()
             sig = np.frombuffer(b"".join(g["sig"]), dtype="<u2").reshape(len(nodes), BINS)
+            n = g["shingles"].to_numpy()
             if p == q:
-                out += [(nodes[i], nodes[j]) for i, j in likely(sig, None, threshold)]
+                out += [(nodes[i], nodes[j]) for i, j in likely(sig, None, threshold, n)]
             else:
                 left, right = np.flatnonzero(g["b"].to_numpy() == p), np.flatnonzero(g["b"].to_numpy() == q)
-                out += [(nodes[left[i]], nodes[right[j]]) for i, j in likely(sig[left], sig[right], threshold)]
+                out += [(nodes[left[i]], nodes[right[j]]) for i, j in likely(sig[left], sig[right], threshold, n[left], n[right])]
         return pd.DataFrame(out, columns=["node", "other"], dtype=object)
 
     return rows.groupBy("unit").applyInPandas(compare, "node binary, other binary").distinct()

@@ -141,6 +141,16 @@ def test_jaccard_awkward(spark, awkward, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_short_texts_at_the_threshold(spark):
+    """Nine words and the first eight of them share 4 of 5 shingles: all such pairs are links."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(9)] for _ in range(600)]
+    rows = [(2 * i + k, " ".join(t[: 9 - k])) for i, t in enumerate(texts) for k in (0, 1)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in got if r["n_links"] != 1] == []
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
 def test_prefix_is_shortened_to_the_target():
     d = jaccard.prefix_depth()
     assert (1 - 0.8**d) ** jaccard.TREES <= jaccard.MISS < (1 - 0.8 ** (d + 1)) ** jaccard.TREES
