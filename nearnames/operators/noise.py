@@ -122,13 +122,8 @@ def fallback(empty: DataFrame, members: DataFrame, free: DataFrame, owned: DataF
     return claim(rows).select("rank", "x_1", "x_2", "similarity", F.lit(1).alias("tier"))
 
 
-def make_noise(pairs: DataFrame, registry: DataFrame, cfg: Config = Config(), name: str = "drug_name") -> DataFrame:
-    """U: x_1, x_2, similarity, tier (1 or 2), label 0.
-
-    Random orders are md5 orders by seed, so a run is reproducible; members of samples
-    differ from those of a generator-based shuffle, counts and rules do not.
-    """
-    cfg.check()
+def prepared(pairs: DataFrame, registry: DataFrame, cfg: Config = Config(), name: str = "drug_name") -> tuple[DataFrame, ...]:
+    """(positive pairs, members of clusters, ranks of clusters with targets and caps, outside names, sound codes)."""
     positive = pairs.select("x_1", "x_2")
     members = materialise(clusters(positive), "clusters")
     num = normal_pairs(positive).count()
@@ -139,6 +134,17 @@ def make_noise(pairs: DataFrame, registry: DataFrame, cfg: Config = Config(), na
     free = outside(registry, positive, name).withColumn("pos", ordered_hash(cfg.seed, "name"))
     free = materialise(free, "outside")
     codes = materialise(phonetics.sound_codes(members.select("name").union(free.select("name"))), "codes")
+    return positive, members, ranks, free, codes
+
+
+def make_noise(pairs: DataFrame, registry: DataFrame, cfg: Config = Config(), name: str = "drug_name") -> DataFrame:
+    """U: x_1, x_2, similarity, tier (1 or 2), label 0.
+
+    Random orders are md5 orders by seed, so a run is reproducible; members of samples
+    differ from those of a generator-based shuffle, counts and rules do not.
+    """
+    cfg.check()
+    positive, members, ranks, free, codes = prepared(pairs, registry, cfg, name)
     one = materialise(tier_1(members, ranks, free, positive, codes, cfg), "tier1")
     each = max(1, cfg.tier_2_sample_size // max(1, ranks.count()))
     taken = one.select(F.col("x_2").alias("name"), "rank").distinct()

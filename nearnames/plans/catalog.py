@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearnames.config import REJECTED, STOPWORDS, UNLABELED, LEADING_EXCLUDED, LEADING_WORDS, Config
@@ -511,24 +511,15 @@ def _registry(spark, sf) -> DataFrame:
     return fx.names(spark, sf).select(F.col("name").alias("drug_name")).withColumn("pos", F.xxhash64("drug_name"))
 
 
-_SMALL = Config(positive_prevalence=1 / 4, min_pool=5, tier_2_sample_size=200)
-
-
 @query()
 def tier1_claim(spark, sf):
-    p = fx.positives(spark, sf)
-    members = noise.clusters(p)
-    ranks = members.select("cluster_id").distinct().withColumn("rank", F.row_number().over(Window.orderBy("cluster_id")))
-    free = pairs.outside(fx.names(spark, sf), p, "name")
-    near = near_names(free.union(members.select("name")), 3).select("x_1", "x_2")
-    both = near.union(near.select("x_2", "x_1")).join(members.withColumnRenamed("name", "x_1"), "x_1").join(free.select(F.col("name").alias("x_2")), "x_2").join(ranks, "cluster_id")
-    rows = both.withColumn("place", F.row_number().over(Window.partitionBy("rank").orderBy("x_1", "x_2"))).withColumns({"candidate": F.col("x_2"), "cap": F.lit(3)})
-    return noise.claim(rows).select("rank", "place", "x_1", "x_2")
+    positive, members, ranks, free, codes = noise.prepared(fx.positives(spark, sf), _registry(spark, sf))
+    return noise.tier_1(members, ranks, free, positive, codes, Config()).select("rank", "place", "x_1", "x_2")
 
 
 @query()
 def noise_full(spark, sf):
-    return noise.make_noise(fx.positives(spark, sf), _registry(spark, sf), _SMALL)
+    return noise.make_noise(fx.positives(spark, sf), _registry(spark, sf))
 
 
 @query()
@@ -550,4 +541,4 @@ def lexicon_full(spark, sf):
 
 @query()
 def hard_negatives_full(spark, sf):
-    return pipeline.hard_negatives(fx.positives(spark, sf), noise_full(spark, sf), 0.2, 0.9)
+    return pipeline.hard_negatives(fx.positives(spark, sf), noise_full(spark, sf))
