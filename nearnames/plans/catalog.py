@@ -529,14 +529,13 @@ def assemble_full(spark, sf):
 
 @query()
 def featurize_full(spark, sf):
-    return scoring.featurize(fx.positives(spark, sf).withColumn("label", F.lit(1)))
+    return pipeline.features(assemble_full(spark, sf))
 
 
 @query()
 def lexicon_full(spark, sf):
-    p = fx.positives(spark, sf)
-    known = pairs.vocabulary(p)
-    return scoring.lexicon_scores(known, known, phonetics.transcriptions(known, ["eng", "fil"]))
+    names = fx.names(spark, sf)
+    return scoring.lexicon_scores(pairs.vocabulary(fx.positives(spark, sf)), names, phonetics.transcriptions(names, ["eng", "fil"]))
 
 
 @query()

@@ -22,3 +22,15 @@ def test_noise_queries_use_the_defaults(spark, monkeypatch):
     assert mined.count() > 3 * fx.positives(spark, SF).count()
     hard = catalog.QUERIES["hard_negatives_full"](spark, SF).agg(F.count("*"), F.min("hardness"), F.max("hardness")).first()
     assert hard[0] == fx.positives(spark, SF).count() and hard[1] >= 0.4 and hard[2] <= 0.8
+
+
+def test_lexicon_is_queries_by_all_names(spark):
+    queries, names = catalog.QUERIES["positive_vocabulary"](spark, SF), fx.names(spark, SF)
+    pool = catalog.QUERIES["lexicon_full"](spark, SF)
+    assert pool.select("x_1", "x_2").distinct().count() == queries.count() * (names.count() - 1)
+
+
+def test_features_cover_all_sources(spark):
+    count = lambda d: {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
+    got = count(catalog.QUERIES["featurize_full"](spark, SF))
+    assert got == count(catalog.QUERIES["assemble_full"](spark, SF)) and set(got) == {1, 0, -1}
