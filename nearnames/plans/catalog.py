@@ -119,6 +119,13 @@ def strip_diacritics(spark, sf):
     return first.select("doc_id", text.strip_diacritics("w").alias("bare"), text.clean_name("w").alias("clean"))
 
 
+@query(r"SELECT doc_id, strip_accents(text) AS bare, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(regexp_replace(lower(text), '^\s+|\s+$', '', 'g')), '[-/'']', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS clean FROM documents")
+def strip_diacritics_whole(spark, sf):
+    """Whole texts of all documents; ``strip_diacritics`` has only first words of three languages, as its SQL does."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select("doc_id", text.strip_diacritics("text").alias("bare"), text.clean_name("text").alias("clean"))
+
+
 _CORE = f"""CASE WHEN w[1] IN {_WORDS(LEADING_WORDS)} THEN CASE WHEN w[2] IS NOT NULL AND w[2] NOT IN {_WORDS(LEADING_EXCLUDED)} AND NOT regexp_matches(w[2], '[0-9]') AND length(w[2]) > 1 THEN w[1] || ' ' || w[2] ELSE w[1] END
     ELSE coalesce(list_filter(w, lambda v: v NOT IN {_WORDS(STOPWORDS)} AND NOT regexp_matches(v, '[0-9]') AND length(v) > 1)[1], w[1], '') END"""
 _STRIP = f"array_to_string(CASE WHEN len(list_filter(w, lambda v: v NOT IN {_WORDS(STOPWORDS)} AND NOT regexp_matches(v, '[0-9]'))) > 0 THEN list_filter(w, lambda v: v NOT IN {_WORDS(STOPWORDS)} AND NOT regexp_matches(v, '[0-9]')) ELSE w END, ' ')"

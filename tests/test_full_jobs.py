@@ -1,5 +1,7 @@
 """Registered queries run the whole job with the production settings."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from nearnames.config import Config
@@ -34,3 +36,14 @@ def test_features_cover_all_sources(spark):
     count = lambda d: {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
     got = count(catalog.QUERIES["featurize_full"](spark, SF))
     assert got == count(catalog.QUERIES["assemble_full"](spark, SF)) and set(got) == {1, 0, -1}
+
+
+def test_diacritics_go_from_whole_texts(spark):
+    got = {r["doc_id"]: r for r in catalog.QUERIES["strip_diacritics_whole"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        want = "".join(c for c in unicodedata.normalize("NFD", d["text"]) if unicodedata.category(c) != "Mn")
+        assert got[d["doc_id"]]["bare"] == unicodedata.normalize("NFC", want)
+        words = "".join(c for c in want.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+        assert got[d["doc_id"]]["clean"].replace(" ", "") == words
