@@ -245,6 +245,16 @@ def test_thresholds_are_quantiles(spark):
     assert got["total"] == 777 and got["threshold"] == pytest.approx(at(0.9) + 0.5 * (at(0.9) - at(0.5)))
 
 
+def test_thresholds_have_no_slack(spark, sf):
+    """By default a language's threshold is the quantile of its trusted held-out texts."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).collect()
+    en = [r for r in rows if r["lang"] == "en"]
+    held = sorted(math.floor(r["log_perplexity"] / quality.STEP) for r in en if r["trusted"] and zlib.crc32(str(r["doc_id"]).encode()) % quality.FOLDS == 0)
+    assert len(held) >= quality.LEAST
+    assert en[0]["threshold"] == pytest.approx((held[math.ceil(len(held) * quality.QUANTILE) - 1] + 1) * quality.STEP)
+
+
 def test_quality_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(3, 1, 0), (3, None, None), (None, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
     got = [(r["doc_id"], r["kept"]) for r in quality.classify(awkward, labels).collect()]
