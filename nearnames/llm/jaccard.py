@@ -1,11 +1,12 @@
-"""Near-duplicate texts: Jaccard join on word n-grams through a MinHash LSH forest.
+"""Near-duplicate texts: Jaccard join on word n-grams through MinHash banding.
 
 1. One scan turns each text into its set of 5-word shingles, a digest of that set (the
    text's class: equal sets are one node from here on) and a MinHash signature.
-2. The signature is cut into ``TREES`` strings of ``DEPTH`` values, one per prefix trie.
-   Matched prefixes are shortened from the full string until the chance that a pair at
-   the threshold matches in no trie is at most ``MISS``. Nodes under one prefix are
-   candidates; groups that many tries repeat are kept once.
+2. The signature is cut into ``TREES`` bands of ``DEPTH`` values, of which the first
+   ``prefix_depth()`` (6) count: the most for which a pair at the threshold shares no
+   band with a chance of at most ``MISS``. That holds for one threshold and for every
+   text alike, so an LSH forest would shorten all its prefixes to this depth; no trie is
+   built. Texts that share a band are candidates; groups that bands repeat are kept once.
 3. Within a group, signatures and set sizes alone estimate each pair (sizes alone where
    a set is small); a spanning forest of the pairs that may reach the threshold goes on,
    not the pairs.
@@ -37,7 +38,7 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
-#: Greatest chance that a pair just at the threshold matches in no trie.
+#: Greatest chance that a pair just at the threshold matches in no band.
 MISS = 1e-4
 BINS = TREES * DEPTH
 #: Pairs whose estimate is this many standard deviations below the threshold still go on to the exact comparison.
@@ -59,7 +60,7 @@ _ORDER = np.random.default_rng(7).random((BINS, BINS)).argsort(axis=1).argsort(a
 
 
 def prefix_depth(threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """The longest prefix that holds the miss rate, found by shortening the full one."""
+    """The longest prefix of a band that holds the miss rate; it depends on the constants alone."""
     for depth in range(DEPTH, 1, -1):
         if (1 - threshold**depth) ** TREES <= miss:
             return depth
@@ -218,7 +219,7 @@ def _candidates(classes: DataFrame, threshold: float, miss: float) -> DataFrame:
     )
     crowd = leaf.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = materialise(leaf.join(crowd, "key"), "forest")
-    # Small groups are lists of at most LIST nodes; the same list from many tries stays once.
+    # Small groups are lists of at most LIST nodes; the same list from many bands stays once.
     lists = met.where(F.col("m") <= LIST).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     few = lists.select(F.xxhash64("nodes").alias("key"), F.explode("nodes").alias("node"), F.size("nodes").cast("long").alias("m"))
     many = met.where(F.col("m") > LIST).select("key", "node", "m")
