@@ -12,8 +12,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch; with texts of some kB a batch stays at a few MB.
-BATCH_ROWS = "1000"
+#: Bounds of an Arrow batch that goes to Python: rows, and bytes (a batch ends with the row that passes them).
+BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
+#: Characters of texts that an operator works on at a time; a longer text is worked on alone.
+SLICE_CHARS = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,10 +34,36 @@ def ship(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Ship the package, and bound Arrow batches (Spark's default is 10,000 rows)."""
+    """Ship the package, and bound Arrow batches in rows and bytes.
+
+    Lazy results read these settings when they run, so they stay set; a setting that the
+    session's owner has changed from Spark's default is left alone.
+    """
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, default, bound in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bound)
+
+
+def slices(texts: list[str], chars: int = SLICE_CHARS):
+    """``texts`` in runs of at most ``chars`` characters, or of one text."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > chars:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield texts[begin:]
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name, ``name`` if possible, that none of ``frames`` has (names are told apart without case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 _slot: dict = {}
@@ -63,10 +91,11 @@ def worker_state(key, make):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a single machine a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        # Only a single-machine session (tests) comes here.
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="nearnames-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
