@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearnames.runtime import materialise, tune, worker_state
+from nearnames.runtime import materialise, slices, tune, worker_state
 
 DIM = 1024
 SEED = 11
@@ -25,6 +25,8 @@ SEED = 11
 SYMBOLS = 64
 UNKNOWN = "und"
 CHUNK = 64
+#: Distinct trigrams whose vectors are built at a time (6 kB each).
+STEP_TRIGRAMS = 2048
 #: Languages whose prototypes (8 kB each) the driver and workers may hold.
 MOST_LANGUAGES = 10_000
 #: A text is recognised unless its score is below this quantile of its language's held-out texts.
@@ -89,8 +91,13 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     there = np.flatnonzero(np.bincount(code, minlength=_TRIGRAMS))
     place = np.zeros(_TRIGRAMS, dtype=np.int64)
     place[there] = np.arange(len(there))
-    counts = np.bincount(text * len(there) + place[code], minlength=len(texts) * len(there)).reshape(len(texts), len(there)) if len(there) else np.zeros((len(texts), 0))
-    return counts.astype(np.float32) @ bound(there).astype(np.float32), letters
+    out, at = np.zeros((len(texts), DIM), dtype=np.float32), place[code]
+    for begin in range(0, len(there), STEP_TRIGRAMS):
+        some = there[begin : begin + STEP_TRIGRAMS]
+        now = (at >= begin) & (at < begin + len(some))
+        counts = np.bincount(text[now] * len(some) + at[now] - begin, minlength=len(texts) * len(some)).reshape(len(texts), len(some))
+        out += counts.astype(np.float32) @ bound(some).astype(np.float32)
+    return out, letters
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
@@ -101,11 +108,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
-            code, text = trigrams(texts)
-            for lang in set(langs):
-                n = np.bincount(code[(langs == lang)[text]] if len(code) else code, minlength=_TRIGRAMS)
-                counts[lang] = counts.get(lang, 0) + n
+            every, at = batch.column(1).to_pylist(), 0
+            for texts in slices(batch.column(0).to_pylist()):
+                langs = np.array(every[at : at + len(texts)], dtype=object)
+                at += len(texts)
+                code, text = trigrams(texts)
+                for lang in set(langs):
+                    n = np.bincount(code[(langs == lang)[text]] if len(code) else code, minlength=_TRIGRAMS)
+                    counts[lang] = counts.get(lang, 0) + n
         for lang, n in counts.items():
             total = np.zeros(DIM)
             there = np.flatnonzero(n)
@@ -141,8 +151,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     def run(batches):
         for batch in batches:
             texts, best, score = batch.column(1).to_pylist(), [], []
-            for i in range(0, len(texts), CHUNK):
-                v, letters = bundles(texts[i : i + CHUNK])
+            for some in (part[i : i + CHUNK] for part in slices(texts) for i in range(0, len(part), CHUNK)):
+                v, letters = bundles(some)
                 if not len(centred):
                     best += [names[-1]] * len(v)
                     score += [0.0] * len(v)

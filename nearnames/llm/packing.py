@@ -28,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearnames.runtime import materialise, tune, worker_state
+from nearnames.runtime import materialise, slices, tune, worker_state
 
 WINDOW = 2048
-#: Segments whose ids a worker keeps; the memo is emptied when full.
-MEMO = 300_000
+#: Segments whose ids a worker keeps; the memo is emptied when full. Longer segments are not kept.
+MEMO, MEMO_CHARS = 300_000, 64
+#: Longer segments go to the library: a long run of white space is more than the merger's pattern matcher can take.
+LONG = 4096
 _NEXT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
 #: Left to the library: characters on which Unicode tables may differ, and special strings.
@@ -73,21 +75,29 @@ class SegmentEncoder:
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _raw(self, segments: list[str]) -> list[bytes]:
-        hard = [i for i, s in enumerate(segments) if self.fast is None or _HARD.search(s)]
-        found = [b""] * len(segments) if self.fast is None else [array("I", self.fast.encode_ordinary(s)).tobytes() for s in segments]
+        found = [b""] * len(segments)
+        hard = [i for i, s in enumerate(segments) if self.fast is None or len(s) > LONG or _HARD.search(s)]
+        for i in set(range(len(segments))).difference(hard):
+            found[i] = array("I", self.fast.encode_ordinary(segments[i])).tobytes()
         for i, x in zip(hard, self.tokenizer.encode_batch_fast([segments[i] for i in hard], add_special_tokens=False), strict=True):
             found[i] = array("I", x.ids).tobytes()
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        return [ids for part in slices(texts) for ids in self._encode(part)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo, cut = self.memo, [(_NEXT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
         heads = self._raw([x[0] for x in cut])
-        if miss := list({w for x in cut for w in x[1:] if w not in memo}):
-            memo.update(zip(miss, self._raw([" " + w for w in miss]), strict=True))
-        return [h + b"".join(map(memo.__getitem__, x[1:])) for h, x in zip(heads, cut, strict=True)]
+        miss = list({w for x in cut for w in x[1:] if w not in memo})
+        new = dict(zip(miss, self._raw([" " + w for w in miss]), strict=True))
+        memo.update((w, ids) for w, ids in new.items() if len(w) <= MEMO_CHARS)
+        long = {w: ids for w, ids in new.items() if len(w) > MEMO_CHARS}
+        get = memo.__getitem__ if not long else lambda w: long[w] if w in long else memo[w]
+        return [h + b"".join(map(get, x[1:])) for h, x in zip(heads, cut, strict=True)]
 
 
 def encoder(path: str) -> SegmentEncoder:

@@ -151,6 +151,92 @@ def test_short_texts_at_the_threshold(spark):
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
 
 
-def test_prefix_is_shortened_to_the_target():
-    d = jaccard.prefix_depth()
-    assert (1 - 0.8**d) ** jaccard.TREES <= jaccard.MISS < (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def test_prefixes_are_shortened_until_the_recall_holds():
+    """Each pair of sizes has its own depth: the deepest that holds the miss rate at the least similarity such a pair can have."""
+    assert jaccard.prefix_depth(0.8) == 6
+    depths = {}
+    for n in range(1, 40):
+        for m in range(1, 40):
+            can = [c / (n + m - c) for c in range(min(n, m) + 1) if c < max(n, m) and c / (n + m - c) >= 0.8]
+            d = depths[n, m] = jaccard.depth_for(n, m)
+            assert bool(can) == bool(d) and d == depths.get((m, n), d)
+            if can:
+                assert (1 - min(can) ** d) ** jaccard.TREES <= jaccard.MISS
+                assert d == jaccard.DEPTH or (1 - min(can) ** (d + 1)) ** jaccard.TREES > jaccard.MISS
+    assert {depths[5, 4], depths[6, 5], depths[7, 8], depths[20, 20]} == {6, 7, 8}
+    listed = jaccard.levels()
+    assert not listed[:4].any() and listed[5].nonzero()[0].tolist() == [6, 7] and listed[jaccard.SHORT].nonzero()[0].tolist() == [6]
+    for n in range(1, 32):  # no partner of theirs has 40 shingles
+        assert set(listed[n].nonzero()[0]) == {depths[n, m] for m in range(1, 40) if depths[n, m]}
+
+
+@pytest.mark.parametrize("cut", [1, 3, 1000])
+def test_walk_finds_company_by_sorted_prefixes(cut):
+    """However the sorted strings are cut into batches, a text is listed at those of its depths where another shares its prefix."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(2), tuple(rng.randrange(2) for _ in range(jaccard.DEPTH)), rng.choice([5, 6, 7, 12, 99])) for _ in range(120))
+    listed = jaccard.levels()
+    want = set()
+    for i, (tree, text, n) in enumerate(rows):
+        for d in listed[min(n, jaccard.SHORT)].nonzero()[0].tolist():
+            near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j][0] == tree and rows[j][1][:d] == text[:d]]
+            if near or i in (0, len(rows) - 1):  # a partition's ends count as having company
+                want.add((tree, text[:d], d, i))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([np.array(r[1], dtype=">u2").tobytes() for r in part]), pa.array(range(k, k + len(part))), pa.array([r[2] for r in part], pa.int32())], ["tree", "string", "no", "shingles"])
+        for k in range(0, len(rows), cut) for part in [rows[k : k + cut]]
+    ]
+    got = [r for b in jaccard.walk(iter(batches), listed) for r in b.to_pylist()]
+    assert {(r["code"] // 16, rows[r["no"]][1][: r["code"] % 16], r["code"] % 16, r["no"]) for r in got} == want and len(got) == len(want)
+    names = {}
+    for r in got:
+        assert names.setdefault((r["code"], rows[r["no"]][1][: r["code"] % 16]), r["key"]) == r["key"]
+    assert len(set(names.values())) == len(names)
+
+
+def test_recall_at_the_threshold_by_length(spark):
+    """Planted pairs of least similarity, from 5 words on: at least 0.99 of them are found at each length."""
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for n in (4, 5, 6, 7, 8, 9, 10, 12, 16, 30, 63, 64, 100, 400):  # shingles
+        least = min((c / (n + m - c), m) for m in range(1, 2 * n) for c in range(min(n, m) + 1) if c < max(n, m) and c / (n + m - c) >= 0.8 and c == min(n, m))
+        for _ in range(150 if n < 100 else 40):
+            text = [f"w{rng.randrange(10**9)}" for _ in range(max(n, least[1]) + 4)]
+            a, b = " ".join(text[: n + 4]), " ".join(text[: least[1] + 4])
+            pairs.append((n, len(rows), len(rows) + 1))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for n in {p[0] for p in pairs}:
+        here = [got[b] == got[a] == a for k, a, b in pairs if k == n]
+        assert sum(here) >= 0.99 * len(here), n
+
+
+def test_large_chains_go_prefix_by_prefix(spark, monkeypatch):
+    """A long chain of near copies is compared by shared prefixes, a crowd as a whole, with the same links."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    chain = [word() for _ in range(100)]
+    texts = []
+    for _ in range(120):  # each text differs from the one before by a few words at one end
+        texts.append(" ".join(chain))
+        chain = chain[6:] + [word() for _ in range(6)]
+    crowd = [word() for _ in range(80)]
+    texts += [" ".join([*crowd, word()]) for _ in range(60)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LIST", 6)
+    seen, plain = [], jaccard._units
+
+    def units(*args):
+        out = plain(*args)
+        seen.append({r["whole"] for r in out.selectExpr("codes IS NULL AS whole").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "_units", units)
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = jaccard_links(rows)
+    assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in p for p in pairs) for i, _ in rows}
+    assert {i: r["component_id"] for i, r in got.items()} == components(pairs, [i for i, _ in rows])
+    assert False in seen[0]
