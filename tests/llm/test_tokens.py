@@ -1,13 +1,15 @@
 """Packing, token counts, SentencePiece: against the libraries on whole tables."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 
-from nearnames.llm import packing, queries, token_counts, viterbi
+from nearnames.llm import frequency, packing, queries, token_counts, viterbi
 
 ALPHABET = ["a", "b", " ", "  ", "\n", "\t", "é", "ß", "1", "23", "'s", " the", "The", ".", "!!", "<|endoftext|>", "<s>", "▁", "\x1c", "　", "梦", "😀", "\r\n", "ﬁ", "\xa0", "word", "\0"]
 
@@ -34,6 +36,12 @@ def test_segment_ids_equal_library(library):
     assert got == ids_of(library, texts)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, "x y " + " " * 5000 + "b" * 9000 + " \n c", "word " * 25_000])
+def test_long_runs_equal_library(library, text):
+    got = packing.SegmentEncoder(P.path("byte_bpe_50k.json")).encode([text, "after it"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == ids_of(library, [text, "after it"])
+
+
 def check_packing(rows, docs, library, window=2048):
     """docs: (doc_id, text). All ids once, checksums, gapless windows within bounds."""
     want = {}
@@ -112,9 +120,24 @@ def test_token_counts_equal_library(spark, sf, documents, pieces):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((text or "").encode()), n > 4096)
 
 
-def test_token_counts_strange(pieces):
-    texts = strange(5000, 2)
-    assert token_counts.PieceCounter(P.path("piece_bpe_32k.model")).counts(texts) == [len(x) for x in pieces.encode(texts)]
+@pytest.mark.parametrize("hot", [0, 40, 10**6])
+def test_token_counts_strange(spark, pieces, hot, monkeypatch):
+    """However few pre-tokens the workers hold, the others come through the join."""
+    monkeypatch.setattr(token_counts, "MEMO", 100)
+    texts = strange(2000, 2) + ["a" * 30_000 + " b", " " * 20_000, "word " * 25_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(x) for x in pieces.encode(texts)]
+
+
+def test_each_pre_token_is_counted_once(spark, documents):
+    df = spark.createDataFrame([(d[1] or "",) for d in documents[:200]], "text string").repartition(3)
+    rows = token_counts._vocabulary(df, P.path("piece_bpe_32k.model")).collect()
+    want = Counter(w for d in documents[:200] for w in token_counts.pre_tokens(d[1] or ""))
+    assert {r["word"]: r["n"] for r in rows} == want and len(rows) == len(want)
+    for most in (0, 10, 300, 10**6):
+        least = frequency.frequent_from(spark.createDataFrame(list(want.items()), "word string, n long"), most)
+        assert sum(math.floor(math.log2(n) * frequency.STEPS + 1e-9) >= least for n in want.values()) <= most
 
 
 def test_token_counts_awkward(spark, awkward, empty, pieces):
