@@ -9,6 +9,11 @@ as unknown at the least score minus 10; it is written as its UTF-8 byte pieces.
 Texts are cut before runs of spaces and between characters that no piece has side
 by side; no piece crosses such a cut, so the best paths of the parts make up the
 best path of the whole. Each worker keeps the ids of distinct parts.
+
+The path is the best one by the model file's scores. For a unigram model that is the
+library's own encoding. ``piece_bpe_32k.model``, the default, is a BPE model, whose
+scores are ranks of merges: the library merges greedily by rank, so its ids differ from
+the best path's, and it needs fewer pieces. ``token_counts`` counts the library's pieces.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 from nearnames.llm.token_counts import pre_tokens
 from nearnames.runtime import tune, worker_state
 
-MEMO = 500_000
+#: Words and parts that a worker keeps; the memo is emptied when full. Longer ones are not kept.
+MEMO, MEMO_CHARS = 500_000, 64
 MARK = "▁"
 
 
@@ -97,7 +103,9 @@ class Viterbi:
         found = self.parts.get(s)
         if found is None:
             ids, score = self.path(s)
-            found = self.parts[s] = array("I", ids).tobytes(), score
+            found = array("I", ids).tobytes(), score
+            if len(s) <= MEMO_CHARS:
+                self.parts[s] = found
         return found
 
     def word(self, w: str) -> tuple[bytes, float]:
@@ -112,16 +120,22 @@ class Viterbi:
 
     def encode(self, text: str) -> tuple[bytes, float]:
         """Little-endian unsigned 32-bit ids of a whole text, and its score."""
-        if len(self.words) > MEMO:
-            self.words.clear()
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        words, cut = self.words, pre_tokens(text)
-        for w in set(cut).difference(words):
-            words[w] = self.word(w)
-        got = [words[w] for w in cut]
+        got = []
+        for w in pre_tokens(text):
+            found = self.words.get(w)
+            if found is None:
+                found = self.word(w)
+                if len(w) <= MEMO_CHARS:
+                    self._keep(w, found)
+            got.append(found)
         return b"".join([x for x, _ in got]), float(sum([x for _, x in got]))
 
+    def _keep(self, w: str, found: tuple[bytes, float]) -> None:
+        for memo in (self.words, self.parts):
+            if len(memo) > MEMO:
+                memo.clear()
+        self.words[w] = found
+
     def decode(self, ids) -> str:
         """The text of ids; the space that encoding puts first is taken off."""
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")

@@ -86,18 +86,21 @@ def plain_scan(text):
 
 def test_secrets_whole_table(spark, sf, documents):
     got = {r["doc_id"]: r for r in queries.op5_secrets(spark, sf).collect()}
-    owners, texts, values = defaultdict(set), defaultdict(set), {}
+    owners, repos, texts, values = defaultdict(set), defaultdict(set), defaultdict(set), {}
     for i, text, _, source in documents:
         values[i] = [(s, text[int(s.split(":")[1]) : int(s.split(":")[2])]) for s in plain_scan(text)]
         for _, k, _, v in secrets.scan(text):
-            owners[v].add(source), texts[v].add(text)
+            owners[v].add(source), repos[v].add((source, i)), texts[v].add(text)
     for i, text, _, _ in documents:
         spans = plain_scan(text)
         assert got[i]["spans"] == ",".join(spans) and got[i]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in secrets.KINDS] == [sum(s.startswith(k) for s in spans) for k in secrets.KINDS]
-        live = [len(owners[v]) < 8 or len(texts[v]) < 8 for _, _, _, v in secrets.scan(text)]
+        live = [len(owners[v]) < 8 or len(repos[v]) < 8 or len(texts[v]) < 8 for _, _, _, v in secrets.scan(text)]
         assert (got[i]["n_live"], got[i]["n_example"]) == (sum(live), len(live) - sum(live))
         assert got[i]["live_spans"] == ",".join(s for s, yes in zip(spans, live, strict=True) if yes)
+        if live:
+            found = [v for *_, v in secrets.scan(text)]
+            assert (got[i]["min_owners"], got[i]["max_repos"]) == (min(len(owners[v]) for v in found), max(len(repos[v]) for v in found))
     assert any(values.values())
 
 
@@ -111,7 +114,7 @@ def test_examples_and_live(spark, awkward, empty):
     key, mine = "AKIA" + "Q" * 16, "AKIA" + "Z" * 16
     rows = [(1, f"x {key}", "a"), (2, f"{key} y", "b"), (3, f"🙂 {mine} {mine}", "a"), (3, f"🙂 {mine} {mine}", "a"), (4, None, None), (None, f"token = {'k' * 12}", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    two = {"example_owners": 2, "example_repos": 2}
+    two = {"example_owners": 2, "example_repos": 2, "example_texts": 2}
     got = sorted(((r["doc_id"], r["n_live"], r["n_example"], r["min_owners"], r["max_repos"]) for r in secrets.scan_secrets(df, **two).collect()), key=str)
     assert got == sorted([(1, 0, 1, 2, 2), (2, 0, 1, 2, 2), (3, 2, 0, 1, 1), (3, 2, 0, 1, 1), (4, 0, 0, None, None), (None, 1, 0, 1, 1)], key=str)
     masked = sorted(((r["doc_id"], r["text"]) for r in secrets.mask_live(df, **two).collect()), key=str)

@@ -175,6 +175,87 @@ def test_viterbi_best_and_round_trip():
             assert sum(scores[i] for i in ids) == pytest.approx(score)
 
 
+def fields(raw):
+    """(number, wire type, value, whole field) of a protocol buffer message."""
+
+    def varint(at):
+        x = shift = 0
+        while True:
+            x |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return x, at
+
+    at = 0
+    while at < len(raw):
+        begin = at
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        else:
+            n, at = varint(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = raw[at : at + n], at + n
+        yield tag >> 3, tag & 7, value, raw[begin:at]
+
+
+def message(number, body):
+    size, out = len(body), b""
+    while size > 127:
+        size, out = size >> 7, out + bytes([size & 127 | 128])
+    return bytes([number << 3 | 2]) + out + bytes([size]) + body
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The pieces of the public model as a unigram model with scores of their own; nothing is trained.
+
+    Field 1 of a model holds its pieces (1 text, 2 score, 3 kind), field 2 the trainer's settings (3: model type, 1 unigram).
+    """
+    import struct
+
+    rng, out = random.Random(9), b""
+    for number, _, value, whole in fields(open(P.path("piece_bpe_32k.model"), "rb").read()):
+        if number == 1:
+            inner = {n: v for n, _, v, _ in fields(value)}
+            if inner.get(3, 1) == 1:
+                score = struct.pack("<f", -12 + 0.8 * len(inner[1].decode()) + rng.random())
+                value = b"".join(bytes([0x15]) + score if n == 2 else w for n, _, _, w in fields(value))
+            whole = message(1, value)
+        elif number == 2:
+            whole = message(2, b"".join(w for n, _, _, w in fields(value) if n != 3) + bytes([0x18, 1]))
+        out += whole
+    path = tmp_path_factory.mktemp("unigram") / "unigram.model"
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_viterbi_equals_library_on_a_unigram_model(spark, sf, documents, unigram):
+    """Whole documents and odd strings have the library's ids where the library takes the best path too.
+
+    The library adds scores in single precision, so paths may differ where two are as good as each other.
+    """
+    import sentencepiece
+
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=unigram), viterbi.pieces_of(unigram)
+    got = {r["doc_id"]: list(r["ids"]) for r in viterbi.encode(spark.read.parquet(f"{sf}/documents.parquet"), model=unigram).collect()}
+    v, equal = viterbi.Viterbi(pieces), 0
+    both = [(got[d[0]], d[1]) for d in documents] + [(np.frombuffer(v.encode(t)[0], "<u4").tolist(), t) for t in strange(600, 4)]
+    for ids, text in both:
+        want = library.encode(text)
+        equal += ids == want
+        mine, theirs = (sum(pieces[i][1] for i in x) for x in (ids, want))
+        assert mine >= theirs - 1e-6 and mine - theirs <= 1e-6 * abs(theirs) + 1e-9
+        assert v.decode(ids) == library.decode(want)
+    assert equal >= 0.98 * len(both)
+
+
+def test_viterbi_long_texts(pieces):
+    v = viterbi.Viterbi(viterbi.pieces_of(P.path("piece_bpe_32k.model")))
+    for text in ("word " * 25_000, "a" * 50_000, " " * 50_000, "\n" * 50_000, "x " + "b" * 9000 + "  c"):
+        raw, _ = v.encode(text)
+        assert v.decode(np.frombuffer(raw, "<u4").tolist()) == text
+
+
 def test_viterbi_small_model_ties_take_the_longest_last_piece():
     v = viterbi.Viterbi([("<unk>", 0.0, "other"), ("▁", -1.0, "normal"), ("a", -2.0, "normal"), ("b", -2.0, "normal"), ("▁a", -3.0, "normal"), ("ab", -4.0, "normal")])
     assert v.path("▁ab") == ([1, 5], -5.0)
