@@ -215,18 +215,52 @@ def plain_kneser_ney(texts):
 def test_model_equals_plain_kneser_ney(spark, documents):
     texts = [d[1] for d in documents[:40]]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    logs = quality.model(quality.count_grams(df))
     p = plain_kneser_ney(texts)
     rng = random.Random(1)
-    seen, _ = quality.grams(texts)
-    codes = [int(c) for c in rng.sample(seen.tolist(), 150)] + [rng.randrange(48**4) for _ in range(150)]
+    code, _ = quality.grams(texts)
+    codes = {int(c) for c in rng.sample(code.tolist(), 150)} | {rng.randrange(48**4) for _ in range(150)} | {48 * c + x for c in (5, 48**2 + 7, 9 * 48**2) for x in range(48)}
+    seen = spark.createDataFrame([(c,) for c in codes], "code int")
+    got = {r["code"]: math.exp(r["logp"]) for r in quality.log_probabilities(seen, quality.count_grams(df)).collect()}
+    assert set(got) == codes
     for c in codes:
-        g = tuple(c // 48**k % 48 for k in (3, 2, 1, 0))
-        assert math.exp(logs[c]) == pytest.approx(p(g), rel=1e-5)
-    assert np.exp(logs).reshape(-1, 48).sum(axis=1) == pytest.approx(1, rel=1e-5)
-    one = texts[3]
-    want = -sum(math.log(p(tuple(int(quality.folding()[ord(x)]) for x in ("\n\n\n" + one)[k : k + 4]))) for k in range(len(one))) / len(one)
-    assert quality.log_perplexity(["", one, "x"], logs)[1] == pytest.approx(want, rel=1e-5)
+        assert got[c] == pytest.approx(p(tuple(c // 48**k % 48 for k in (3, 2, 1, 0))), rel=1e-6)
+    for c in (5, 48**2 + 7, 9 * 48**2):
+        assert sum(got[48 * c + x] for x in range(48)) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("hot", [0, 500, 10**6])
+def test_quality_equals_plain_form(spark, documents, hot):
+    """Every perplexity, threshold and verdict of ``classify``, by dictionaries; however few 4-grams the workers hold."""
+    rng = random.Random(7)
+    docs = [(i, t[:400] if t else t, lang, "x") for i, t, lang, _ in documents[:260]] + [(9000, "", "en", "x"), (9001, None, "en", "x"), (9002, "zzqx", None, "x"), (3, "again with another text", "de", "x")]
+    labels = [(i, int(rng.random() < 0.8), int(rng.random() < 0.1)) for i in range(260)] + [(7, 0, 0), (None, 1, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, rare string").repartition(3)
+    got = sorted(((r["doc_id"], r["lang"], r["log_perplexity"], r["threshold"], r["kept"]) for r in quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), hot=hot).collect()), key=str)
+    bad = {i for i, q, t in labels if q != 1 or t == 1}
+    trusted = {i for i, q, t in labels if i is not None} - bad
+    held = lambda i: zlib.crc32(str(i).encode()) % quality.FOLDS == 0
+    p = plain_kneser_ney([t or "" for i, t, _, _ in docs if i in trusted and not held(i)])
+    fold, memo = quality.folding(), {}
+
+    def perplexity(text):
+        s = [1, 1, 1, *(int(fold[ord(c)]) for c in text or "")]
+        grams = [tuple(s[k : k + 4]) for k in range(len(s) - 3)]
+        for g in grams:
+            if g not in memo:
+                memo[g] = math.log(p(g))
+        return -sum(memo[g] for g in grams) / len(grams) if grams else None
+
+    all_scores = [(i, lang, perplexity(t)) for i, t, lang, _ in docs]
+    steps = defaultdict(list)
+    for i, lang, x in all_scores:
+        if i in trusted and held(i) and x is not None:
+            steps[lang].append(math.floor(x / quality.STEP)), steps["every"].append(math.floor(x / quality.STEP))
+    at = lambda v: (sorted(v)[math.ceil(len(v) * quality.QUANTILE) - 1] + 1) * quality.STEP
+    threshold = {lang: at(v) if len(v) >= quality.LEAST and lang is not None else at(steps["every"]) for lang, v in steps.items()}
+    want = sorted(((i, lang, x, t, x is not None and x <= t) for i, lang, x in all_scores for t in [threshold.get(lang, threshold["every"])]), key=str)
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=lambda r: (str(r[:2]), r[2] or 0)), sorted(want, key=lambda r: (str(r[:2]), r[2] or 0)), strict=True):
+        assert a[:2] == b[:2] and (a[2] is b[2] is None or a[2] == pytest.approx(b[2], rel=1e-6)) and a[3] == pytest.approx(b[3]) and a[4] == b[4]
 
 
 def test_quality_separates(spark, sf):
@@ -244,11 +278,11 @@ def test_thresholds_are_quantiles(spark):
     df = spark.createDataFrame([("a", s, n) for s, n in steps.items()], "lang string, step long, n long")
     flat = sorted(steps.elements())
     at = lambda q: (flat[math.ceil(len(flat) * q) - 1] + 1) * quality.STEP
-    got = quality._thresholds(df, ["lang"], 0.9, 0.5).first()
-    assert got["total"] == 777 and got["threshold"] == pytest.approx(at(0.9) + 0.5 * (at(0.9) - at(0.5)))
+    got = quality._thresholds(df, ["lang"], 0.9).first()
+    assert got["total"] == 777 and got["threshold"] == pytest.approx(at(0.9))
 
 
-def test_thresholds_have_no_slack(spark, sf):
+def test_thresholds_are_those_of_trusted_held_out_texts(spark, sf):
     """By default a language's threshold is the quantile of its trusted held-out texts."""
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).collect()
