@@ -27,7 +27,7 @@ UNKNOWN = "und"
 CHUNK = 64
 #: Distinct trigrams whose vectors are built at a time (6 kB each).
 STEP_TRIGRAMS = 2048
-#: Languages whose prototypes (8 kB each) the driver and workers may hold.
+#: Languages whose prototypes (8 kB each) the driver and workers may hold; with more, training raises an error.
 MOST_LANGUAGES = 10_000
 #: A text is recognised unless its score is below this quantile of its language's held-out texts.
 QUANTILE = 0.005
@@ -130,16 +130,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     return {r["lang"]: np.array(r["v"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["lang"]) if any(r["v"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
-    """doc_id, lang_pred, score: a row per row of ``docs``; with ``lang_col`` its label too, as lang.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, with_key: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score: a row per row of ``docs``; with ``lang_col`` its label too, as lang; with ``with_key`` text_key, the text's xxhash64.
 
     ``score`` is (1 + cosine) / 2 of the best language, ties to the first in the
     alphabet. ``und`` with score 0 for null texts, texts without a letter, and where
     nothing was learned. Whole texts of any length count. Repeated rows and null ids
-    give a row each; an empty table gives none; other columns are ignored.
+    give a row each; an empty table gives none; other columns are ignored, whatever their
+    names.
     """
     tune(docs.sparkSession)
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(lang_col).cast("string").alias("lang")] if lang_col else []))
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(lang_col).cast("string").alias("lang")] if lang_col else []), *([F.xxhash64(text_col).alias("text_key")] if with_key else []))
+    own = kept.columns[2:]
     kind = kept.schema["doc_id"].dataType.simpleString()
     names = [*prototypes, UNKNOWN]
     unit = np.array([p / np.linalg.norm(p) for p in prototypes.values()]).reshape(len(prototypes), DIM)
@@ -164,10 +166,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 top = cos.argmax(axis=1)
                 best += [names[k] if n else names[-1] for k, n in zip(top.tolist(), letters.tolist(), strict=True)]
                 score += np.where(letters > 0, np.clip((1 + cos.max(axis=1)) / 2, 0, 1), 0.0).astype(float).tolist()
-            own = [batch.column(2)] if lang_col else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), *own], ["doc_id", "lang_pred", "score", "lang"][: 3 + len(own)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *own])
 
-    return kept.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double" + (", lang string" if lang_col else ""))
+    return kept.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double" + "".join(", lang string" if c == "lang" else ", text_key long" for c in own))
 
 
 def fold(id_col: str = "doc_id", folds: int = 5):
@@ -182,7 +183,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.select("doc_id", F.coalesce(fold("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, with_key: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, threshold, kept: as ``identify``, and whether a text is of the language it is nearest to.
 
     The best of centred cosines is hardly ever negative, so a text is held against the
@@ -191,14 +192,15 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     fewer than ``LEAST`` of them take that of all languages together; without any,
     every text with a letter is kept.
     """
-    found = materialise(predict(docs, train(docs.where(~fold(id_col)), text_col, lang_col), id_col, text_col, lang_col), "language")
+    found = materialise(predict(docs, train(docs.where(~fold(id_col)), text_col, lang_col), id_col, text_col, lang_col, with_key), "language")
     right = found.where(fold("doc_id") & (F.col("lang") == F.col("lang_pred")) & (F.col("score") > 0))
     steps = right.groupBy("lang", F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
     own = _thresholds(steps, ["lang"], quantile).where(F.col("total") >= LEAST).select(F.col("lang").alias("__lang"), F.col("threshold").alias("own"))
     every = _thresholds(steps.groupBy("step").agg(F.sum("n").alias("n")), [], quantile).collect()
     threshold = F.coalesce("own", F.lit(every[0]["threshold"] if every else 0.0))
     judged = found.join(F.broadcast(own), F.col("lang_pred") == F.col("__lang"), "left")  # a row per language
-    return judged.select("doc_id", "lang_pred", "score", threshold.alias("threshold"), ((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= threshold)).alias("kept"))
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= threshold)
+    return judged.select("doc_id", "lang_pred", "score", threshold.alias("threshold"), kept.alias("kept"), *["text_key"] * with_key)
 
 
 def _thresholds(steps: DataFrame, by: list[str], quantile: float) -> DataFrame:

@@ -335,11 +335,47 @@ def test_pipeline_stages(spark, sf):
     assert C.run(spark, sf).select("doc_id").distinct().count() == kept["secret_scan"]
 
 
-def test_pipeline_repeated_rows(spark, sf, awkward):
+#: Names that stages use inside, or once did.
+CLASHING = ["gone", "again", "__id", "__live", "wanted", "gone_id", "GONE_KEY", "again_id", "again_key", "live_id", "live_key", "live_spans", "text_key", "kept", "stays", "row", "node", "sig", "rank", "salt", "label", "labelled", "trusted", "known", "rare", "score", "spans"]
+
+
+def odd_documents(spark, awkward):
+    long = "la casa es grande y el perro corre por la calle " * 25_000
+    rows = [tuple(r)[:4] for r in awkward.collect()] + [(20, long, "es", "a"), (21, long + "x", "es", "b"), (22, " " * 2_000_000, "en", "a"), (23, "one text", "en", "a"), (23, "quite another text under the same id", "en", "a"), (24, f"token = {'k' * 20}", "en", "q"), (24, f"token = {'j' * 20}", "en", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    for k, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.lit(k) if k % 2 else F.lit(f"c{k}"))
+    return docs
+
+
+@pytest.mark.parametrize("name", ["language_id", "quality_classifier", "ngram_jaccard", "secret_scan", "packing"])
+def test_stages_on_odd_rows(spark, sf, awkward, name):
+    """Null, empty, repeated and very long rows, clashing names, an empty table: each stage on its own."""
     import corpus_pipeline as C
 
-    docs = awkward.select("doc_id", "text", "lang", "source")
-    out = C.ngram_jaccard(spark, docs, sf)
-    # Rows without an id can't be told apart by it: both stay as one of them does.
-    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([1, 3, 4, 6, 7, None, None], key=str)
-    assert C.language_id(spark, docs.limit(0), sf).count() == 0
+    stage, docs = dict(C.STAGES)[name], odd_documents(spark, awkward)
+    out = stage(spark, docs, sf)
+    before, after = ([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], None)
+    if name == "packing":
+        got = Counter(r["doc_id"] for r in out.where("start = 0").collect())
+        assert got == Counter(i for i, _ in before)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        return
+    rows = out.collect()
+    after = [(r["doc_id"], r["text"]) for r in rows]
+    assert out.columns == docs.columns and all(r[c] == (k if k % 2 else f"c{k}") for r in rows for k, c in enumerate(CLASHING))
+    if name != "secret_scan":
+        assert not Counter(after) - Counter(before)
+    if name in ("language_id", "quality_classifier"):
+        assert not [t for _, t in after if not t]
+    if name == "language_id":
+        assert not [t for _, t in after if not any(c.isalpha() for c in t)]
+    if name == "ngram_jaccard":
+        # The white-space texts are one group, the repeated rows one row, the long texts one group; texts under one id are judged apart.
+        want = [1, 3, 4, 6, 7, 20, 23, 23, 24, 24, None]
+        assert sorted((i for i, _ in after), key=str) == sorted(want, key=str)
+    if name == "secret_scan":
+        want = [(i, "token = [SECRET]" if i == 24 else t) for i, t in before]
+        assert Counter(after) == Counter(want)
+        assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in rows)
+    assert stage(spark, docs.limit(0), sf).count() == 0
