@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearnames.llm.blocks import forest, in_blocks, runs, units
 from nearnames.operators.graph import connected_components
 from nearnames.runtime import SLICE_CHARS, discard, materialise, slices, tune, worker_state
 
@@ -168,23 +169,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         return (_mix(np.take_along_axis(least, source, axis=1)) >> np.uint64(48)).astype(">u2")
 
 
-def forest(a, b) -> list[tuple]:
-    """A spanning forest of the links a[i] - b[i]."""
-    up, out = {}, []
-    for x, y in zip(a, b, strict=True):
-        p, q = x, y
-        while up.get(p, p) != p:
-            up[p] = up.get(up[p], up[p])
-            p = up[p]
-        while up.get(q, q) != q:
-            up[q] = up.get(up[q], up[q])
-            q = up[q]
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def likely(left: np.ndarray, right: np.ndarray | None, threshold: float, n_left: np.ndarray, n_right: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Forest edges (row of left, row of right) of pairs that may reach the threshold, by their numbers of shingles and their signatures."""
     least = (threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / BINS)) * BINS
@@ -251,17 +235,6 @@ def _links(weight: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thresho
     return gained, forest(i.tolist(), j.tolist())
 
 
-def _blocks(rows: DataFrame, n, name: str) -> DataFrame:
-    """Deal rows to pairs (p, q) of ``n`` blocks: block b of n meets every block; small groups are one block."""
-    return (
-        rows.withColumn("b", F.pmod(F.xxhash64(name), n).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), n - 1)))
-        .withColumn("p", F.least("b", "with"))
-        .withColumn("q", F.greatest("b", "with"))
-        .drop("with")
-    )
-
-
 def walk(batches, listed: np.ndarray):
     """(key, code, no, shingles) of every prefix under which a text has company.
 
@@ -337,12 +310,12 @@ def _candidates(groups: DataFrame, classes: DataFrame, threshold: float) -> Data
     """Edges (no, other): a spanning forest of the pairs that deserve an exact comparison."""
     parts = max(1, groups.count() // UNIT_ROWS)
     n = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = _blocks(groups.drop("codes"), n, "no").withColumn("unit", F.when(F.col("m") <= LIST, F.pmod("group", F.lit(parts))).otherwise(F.xxhash64("group", "p", "q")))
+    dealt = in_blocks(groups.drop("codes"), n, "no").withColumn("unit", F.when(F.col("m") <= LIST, F.pmod("group", F.lit(parts))).otherwise(F.xxhash64("group", "p", "q")))
     rows = dealt.join(classes.select("no", "sig", "shingles"), "no").select("unit", "group", "m", "p", "q", "b", "no", "sig", "shingles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, _, p, q), g in _runs(group, ["group", "m", "p", "q"]):
+        for (_, _, p, q), g in runs(group, ["group", "m", "p", "q"]):
             no = g["no"].to_numpy()
             sig = np.frombuffer(b"".join(g["sig"]), dtype=">u2").reshape(len(no), BINS)
             n = g["shingles"].to_numpy()
@@ -356,38 +329,6 @@ def _candidates(groups: DataFrame, classes: DataFrame, threshold: float) -> Data
     return rows.groupBy("unit").applyInPandas(compare, "no long, other long").distinct()
 
 
-def _runs(group: pd.DataFrame, by: list[str]):
-    """(key, rows) for each combination of ``by``."""
-    g = group.sort_values(by, kind="stable")
-    keys = g[by].to_numpy()
-    for rows in np.split(np.arange(len(g)), np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1):
-        if len(rows):
-            yield tuple(keys[rows[0]]), g.iloc[rows]
-
-
-def _units(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """(unit, key, codes, p, q, b, no): who is compared with whom exactly.
-
-    Components of one block are compared as they are. A larger one goes block by block,
-    or prefix by prefix where that moves fewer sets: nodes that only a chain of likely
-    pairs joins share few prefixes, a crowd of near copies shares most.
-    """
-    blocks = lambda m, entries: F.greatest(F.ceil(m / BLOCK), F.ceil(entries / BLOCK_ENTRIES)).cast("int")
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("shingles").alias("entries")).withColumn("blocks", blocks(F.col("m"), F.col("entries")))
-    large = sizes.where("blocks > 1")
-    own = groups.select("group", "codes", "no").join(members.join(large.select("component"), "component").select("no", "component", "shingles"), "no")
-    within = materialise(own.select(F.xxhash64("group", "component").alias("key"), "codes", "no", "component", "shingles"), "jaccard")
-    dealt = within.groupBy("key").agg(F.first("component").alias("component"), F.count("*").alias("k"), F.sum("shingles").alias("entries")).where("k > 1").withColumn("blocks", blocks(F.col("k"), F.col("entries")))
-    by_prefix = dealt.groupBy("component").agg(F.sum(F.col("k") * F.col("blocks")).alias("moved")).join(large, "component").where(F.col("moved") < F.col("m") * F.col("blocks")).select("component")
-    by_prefix = materialise(by_prefix, "jaccard")
-    whole = members.join(by_prefix, "component", "left_anti").join(sizes.select("component", "blocks"), "component").select(F.xxhash64("component").alias("key"), F.lit(None).cast("array<int>").alias("codes"), "no", "shingles", "blocks")
-    parts = within.join(by_prefix, "component", "left_semi").join(dealt.select("key", "blocks"), "key").select("key", "codes", "no", "shingles", "blocks")
-    every = whole.unionByName(parts)
-    units = F.lit(max(1, (every.agg(F.sum("shingles")).first()[0] or 0) // ENTRIES))
-    unit = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("key"), units)).otherwise(F.xxhash64("key", "p", "q"))
-    return _blocks(every, F.col("blocks"), "no").select(unit.alias("unit"), "key", "codes", "p", "q", "b", "no")
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, with_key: bool = False
 ) -> DataFrame:
@@ -444,11 +385,11 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
 
     sets = texts.mapInArrow(again, "node binary, set binary").dropDuplicates(["node"]).join(members.select("node", "no", "n"), "node").select("no", "n", "set")
-    dealt = _units(groups, members).join(sets, "no")
+    dealt = units(groups, members.withColumnRenamed("shingles", "size"), BLOCK, BLOCK_ENTRIES, ENTRIES).join(sets, "no")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, p, q), g in _runs(group, ["key", "p", "q"]):
+        for (_, p, q), g in runs(group, ["key", "p", "q"]):
             no, b, codes = g["no"].to_numpy(), g["b"].to_numpy(), g["codes"].iat[0]
             side = (b != p).astype(int) if p != q else np.zeros(len(g), int)
             if p != q and (side.all() or not side.any()):
