@@ -136,6 +136,52 @@ def test_topk_brute_force(spark, scale, shard):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_subtrees_and_shards_are_pruned(spark, monkeypatch):
+    """In clustered vectors a query opens few nodes and visits few shards, and still gets what a full scan gives."""
+    rng = np.random.default_rng(21)
+    centres = rng.integers(-60, 60, (12, 8))
+    points = np.repeat(centres, 200, axis=0) * 8.0 + rng.integers(-3, 4, (2400, 8))
+    tree = topk.KDTree(points, leaf=50)
+    asked = points[::97]
+    own = np.full(len(asked), -1)
+    q, name, score = tree.search(asked, own, np.arange(len(points)), 5, np.full(len(asked), topk.NEVER))
+    full = asked @ points.T
+    for i in range(len(asked)):
+        want = sorted(((-s, j) for j, s in enumerate(full[i].tolist())))[:5]
+        assert sorted(zip((-score[q == i]).tolist(), name[q == i].tolist(), strict=True))[:5] == want
+    assert tree.opened.max() < len(tree.children) and tree.opened.mean() < len(tree.children) / 3
+    visited, plain = [], topk.materialise
+
+    def materialise(df, tag):
+        out = plain(df, tag)
+        if "shards" in out.columns:
+            visited.append(sum(len(r["shards"]) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(topk, "materialise", materialise)
+    df = spark.createDataFrame([(i, [float(c) for c in v / 64]) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, shard_rows=100, k=5).collect())
+    want = []
+    for i in range(0, 2400, 20):
+        best = sorted((-int(s), j) for j, s in enumerate((points[i] @ points.T).tolist()) if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert visited[0] == 120 and sum(visited) < 120 * 24 / 3
+
+
+def test_topk_many_copies(spark):
+    """A third of all rows are one vector: regions of many rows are dealt to several shards."""
+    rng = np.random.default_rng(22)
+    rows = [(i, [0.5] * 4 if i % 3 == 0 else [float(c) for c in np.round(rng.standard_normal(4), 2)]) for i in range(600)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=30, k=6).collect())
+    ints = np.array([[int(np.floor(64 * c)) for c in v] for _, v in rows])
+    want = []
+    for i in range(0, 600, 20):
+        best = sorted((-int(s), j) for j, s in enumerate(ints[i] @ ints.T) if j != i)[:6]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_topk_fewer_than_k(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == [(0, 1, 1, 8192), (0, 2, 20, -4096), (20, 1, 0, -4096), (20, 2, 1, -8192)]
