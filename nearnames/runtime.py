@@ -13,9 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bounds of an Arrow batch that goes to Python: rows, and bytes (a batch ends with the row that passes them).
-BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
+BATCH_ROWS, BATCH_BYTES = "1000", str(4 << 20)
 #: Characters of texts that an operator works on at a time; a longer text is worked on alone.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 
 
 def ship(spark: SparkSession) -> None:
