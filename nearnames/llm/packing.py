@@ -32,7 +32,7 @@ from nearnames.runtime import materialise, slices, tune, worker_state
 
 WINDOW = 2048
 #: Segments whose ids a worker keeps; the memo is emptied when full. Longer segments are not kept.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 150_000, 64
 #: Longer segments go to the library: a long run of white space is more than the merger's pattern matcher can take.
 LONG = 4096
 _NEXT = re.compile(r" (?=\S)")
