@@ -450,17 +450,24 @@ def wratio_column(a, b, least: float = 0.0) -> Column:
     return run(_col(a), _col(b))
 
 
-def leading_words(a, b) -> Column:
-    """As many first words of a as b has words."""
-    from nearnames.functions.text import words
-
-    n = F.size(words(b))
-    return F.when(n > 0, F.array_join(F.slice(words(a), F.lit(1), F.greatest(n, F.lit(1))), " ")).otherwise("")
+def spelling_batch(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Jaro-Winkler of the names, or of one with as many leading words of the other as it has, whichever is greatest."""
+    a, b = a.fillna("").reset_index(drop=True), b.fillna("").reset_index(drop=True)
+    out = jaro_winkler_batch(a, b)
+    # For two single words the leading words are the names themselves.
+    single = a.str.fullmatch(r"\S+") & b.str.fullmatch(r"\S+")
+    at = np.flatnonzero(~single.to_numpy())
+    if len(at):
+        x, y = [s.split() for s in a.iloc[at]], [s.split() for s in b.iloc[at]]
+        lead = lambda of, like: pd.Series([" ".join(p[: len(q)]) for p, q in zip(of, like, strict=True)], dtype=object)
+        rows = lambda s: s.iloc[at].reset_index(drop=True)
+        out[at] = np.maximum(out[at], np.maximum(jaro_winkler_batch(rows(a), lead(y, x)), jaro_winkler_batch(lead(x, y), rows(b))))
+    return out
 
 
 def spelling_similarity(a, b) -> Column:
-    """Jaro-Winkler of the names, or of one with the other's leading words, whichever is greatest."""
-    return F.greatest(jaro_winkler(a, b), jaro_winkler(a, leading_words(b, a)), jaro_winkler(leading_words(a, b), b))
+    """``spelling_batch`` of two columns."""
+    return batch_udf(spelling_batch)(_col(a), _col(b))
 
 
 def soundex_similarity(a, b) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +10,11 @@ from nearnames.config import UNLABELED, Config
 from nearnames.functions import distance, phonetics
 from nearnames.functions.text import is_qualifier_pair, normalize, ordered_hash
 from nearnames.operators.graph import connected_components
+from nearnames.operators.meeting import meet, similar
 from nearnames.operators.pairs import normal_pairs, numbered, outside, random_pairs, vocabulary, without_pairs, without_variants
-from nearnames.runtime import discard, materialise
+from nearnames.runtime import discard, materialise, tune
 
 U = ["x_1", "x_2", "similarity", "tier", "label"]
-FEW_NAMES = 1_000_000
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -36,16 +37,9 @@ def tier_targets(per_cluster: DataFrame, num_positives: int, cfg: Config = Confi
     return out.withColumns({f"cap_{k}": F.greatest(F.lit(cfg.min_pool).cast("long"), cfg.oversample_factor * F.col(f"target_{k}")) for k in (1, 2)})
 
 
-def similar_enough(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """Rows of (x_1, x_2, ...) that sound or look alike, with ``similarity``; ``codes`` are per name."""
-    for s in "12":
-        part = codes.select(F.col("name").alias(f"x_{s}"), F.col("soundex").alias(f"__s{s}"), F.col("metaphone").alias(f"__m{s}"))
-        pairs = pairs.join(part, f"x_{s}", "left")
-    alike = ((F.col("__s1") != "") & (F.col("__s1") == F.col("__s2"))) | ((F.col("__m1") != "") & (F.col("__m1") == F.col("__m2")))
-    scored = pairs.withColumn("__alike", F.coalesce(alike, F.lit(False))).withColumn("similarity", distance.wratio_column("x_1", "x_2", threshold))
-    kept = scored.where((F.col("similarity") >= threshold) | F.col("__alike")).drop("__s1", "__s2", "__m1", "__m2", "__alike")
-    # The few that only sound alike may have been passed over: theirs is worked out now.
-    return kept.withColumn("similarity", F.coalesce("similarity", distance.wratio_column("x_1", "x_2")))
+def coded(names: DataFrame, codes: DataFrame) -> DataFrame:
+    """``names`` (name, ...) with their sound codes and normalised forms, worked out once per name."""
+    return names.join(codes.select("name", "soundex", "metaphone"), "name", "left").fillna("", ["soundex", "metaphone"]).withColumn("key", F.coalesce(normalize("name"), F.lit("")))
 
 
 def claim(qualifying: DataFrame, caps: str = "cap") -> DataFrame:
@@ -73,12 +67,18 @@ def claim(qualifying: DataFrame, caps: str = "cap") -> DataFrame:
 
 def tier_1(members: DataFrame, ranks: DataFrame, free: DataFrame, positive: DataFrame, codes: DataFrame, cfg: Config) -> DataFrame:
     """(rank, cluster_id, place, x_1, x_2, similarity): claimed pairs of members with outside names."""
-    anchors = members.join(ranks, "cluster_id").where("cap_1 > 0")
-    names = free.select(F.col("name").alias("x_2"), F.col("pos").alias("at"))
-    names = F.broadcast(names) if names.count() <= FEW_NAMES else names
-    # A theta join by contract: every member meets every outside name once. Qualifiers are told apart before Python.
-    met = anchors.select("cluster_id", "rank", F.col("cap_1").alias("cap"), F.col("name").alias("x_1")).join(names, ~is_qualifier_pair("x_1", "x_2"))
-    rows = similar_enough(without_pairs(met, positive), codes, cfg.similarity_threshold)
+    anchors = coded(members.join(ranks, "cluster_id").where("cap_1 > 0").select("name", "cluster_id", "rank", F.col("cap_1").alias("cap")), codes)
+    names = coded(free.select("name", F.col("pos").alias("at")), codes)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        i, j, found = similar(a, b, cfg.similarity_threshold)
+        left, right = a.iloc[i].reset_index(drop=True), b.iloc[j].reset_index(drop=True)
+        return pd.DataFrame({"cluster_id": left["cluster_id"], "rank": left["rank"], "cap": left["cap"], "x_1": left["name"], "x_2": right["name"], "at": right["at"], "similarity": found})
+
+    # Every member meets every outside name once, by contract.
+    kinds = dict(anchors.dtypes) | dict(names.dtypes)
+    met = meet(anchors, names, compare, f"cluster_id {kinds['cluster_id']}, rank int, cap long, x_1 string, x_2 string, at {kinds['at']}, similarity double")
+    rows = without_pairs(met, positive)
     order = Window.partitionBy("rank").orderBy("x_1", "at")
     return claim(rows.withColumn("candidate", F.col("x_2")).withColumn("place", F.row_number().over(order))).drop("candidate", "at")
 
@@ -94,9 +94,17 @@ def tier_2(claimed: DataFrame, slices: DataFrame, ranks: DataFrame, positive: Da
     pool = claimed.select("rank", F.col("x_2").alias("name")).union(slices.select("rank", "name")).distinct()
     few = Window.partitionBy("rank").orderBy(ordered_hash(cfg.seed + 2, "rank", "name"), "name")
     pool = pool.withColumn("__n", F.row_number().over(few)).where(F.col("__n") <= cfg.tier_2_max_pool).drop("__n").join(ranks.where("cap_2 > 0").select("rank", "cluster_id", F.col("cap_2").alias("cap")), "rank")
-    a, b = pool.withColumnRenamed("name", "x_1"), pool.select("rank", F.col("name").alias("x_2"))
-    met = a.join(b, "rank").where(F.col("x_1") < F.col("x_2")).where(~is_qualifier_pair("x_1", "x_2"))
-    rows = similar_enough(without_pairs(met, positive), codes, cfg.similarity_threshold)
+
+    def compare(pool: pd.DataFrame) -> pd.DataFrame:
+        keep = pool["name"].to_numpy()[:, None] < pool["name"].to_numpy()[None, :]
+        i, j, found = similar(pool, pool, cfg.similarity_threshold, keep)
+        left, right = pool.iloc[i].reset_index(drop=True), pool.iloc[j].reset_index(drop=True)
+        return pd.DataFrame({"rank": left["rank"], "cluster_id": left["cluster_id"], "cap": left["cap"], "x_1": left["name"], "x_2": right["name"], "similarity": found})
+
+    # A pool has at most tier_2_max_pool names, so a task's group is bounded.
+    tune(pool.sparkSession)
+    met = coded(pool, codes).groupBy("rank").applyInPandas(compare, f"rank int, cluster_id {dict(pool.dtypes)['cluster_id']}, cap long, x_1 string, x_2 string, similarity double")
+    rows = without_pairs(met, positive)
     order = Window.partitionBy("rank").orderBy("x_1", "x_2")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("cap"))
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearnames.config import Config
 from nearnames.functions import distance, phonetics, text
-from nearnames.runtime import tune
+from nearnames.operators.meeting import code_similarity, may_reach_ratio, meet
+from nearnames.runtime import materialise, tune
 
 RUN = "run long, x_1 string, seed_x_2 string, candidates array<string>, x_2 array<string>, reasoning string"
-#: Registry names up to this many are broadcast; more are joined by shuffled length blocks.
-FEW_NAMES = 1_000_000
 
 
 def seed_pairs(pairs: DataFrame) -> DataFrame:
@@ -28,31 +28,40 @@ def seed_pairs(pairs: DataFrame) -> DataFrame:
 def candidates(seeds: DataFrame, registry: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(run, x_1, known, candidate, rank): the best ``candidate_limit`` names for each seed.
 
-    ``seeds``: run, x_1, x_2; ``registry``: drug_name, pos. Native conditions stand in
-    the join: a ratio above the threshold bounds the lengths' ratio, and the sound
-    branch is an edit distance of codes, so only plausible pairs reach Python. Sound
-    codes are made once per name.
+    ``seeds``: run, x_1, x_2; ``registry``: drug_name, pos. Codes are made once per name,
+    and each distinct anchor meets the registry once, whatever the number of its
+    runs: a run leaves out its known name only, so the anchor's best names, and one
+    more for each time a name stands in the registry, hold those of all its runs.
     """
-    names = registry.select(F.col("drug_name").alias("candidate"), "pos")
-    codes = phonetics.sound_codes(registry.select(F.col("drug_name").alias("name")).union(seeds.select("x_1")))
-    left = seeds.join(codes.withColumnsRenamed({"name": "x_1", "soundex": "sa", "native_metaphone": "ma"}).drop("metaphone"), "x_1")
-    right = names.join(codes.withColumnsRenamed({"name": "candidate", "soundex": "sb", "native_metaphone": "mb"}).drop("metaphone"), "candidate")
-    if registry.count() <= FEW_NAMES:
-        right = F.broadcast(right)
+    names = registry.select(F.col("drug_name").alias("name"), "pos").where("name IS NOT NULL")
+    anchors = seeds.select(F.col("x_1").alias("name")).where("name IS NOT NULL").distinct()
+    codes = materialise(phonetics.sound_codes(names.select("name").union(anchors)), "codes")
+    spare = names.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        sounds = code_similarity(a["soundex"], b["soundex"]) >= cfg.soundex_threshold
+        i, j = np.nonzero((sounds | may_reach_ratio(a["name"], b["name"], cfg.ratio_threshold)) & (a["name"].to_numpy()[:, None] != b["name"].to_numpy()[None, :]))
+        p, q, ratio = a["name"].to_numpy()[i], b["name"].to_numpy()[j], np.zeros(len(i))
+        for begin in range(0, len(i), 65_536):
+            part = slice(begin, begin + 65_536)
+            ratio[part] = distance.ratio_batch(pd.Series(p[part]), pd.Series(q[part]))
+        ok = sounds[i, j] | (ratio > cfg.ratio_threshold)
+        i, j = i[ok], j[ok]
+        out = {"x_1": p[ok], "candidate": q[ok], "pos": b["pos"].to_numpy()[j], "ratio": ratio[ok], "ma": a["native_metaphone"].to_numpy()[i], "mb": b["native_metaphone"].to_numpy()[j]}
+        return pd.DataFrame(out)
+
+    with_codes = lambda d: d.join(codes.select("name", "soundex", "native_metaphone"), "name")
+    schema = f"x_1 string, candidate string, pos {dict(names.dtypes)['pos']}, ratio double, ma string, mb string"
     a, b = F.col("x_1"), F.col("candidate")
-    low, high = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    close = 200.0 * low / (low + high) > cfg.ratio_threshold
-    sounds = distance.soundex_similarity("sa", "sb") >= cfg.soundex_threshold
-    met = left.join(
-        right,
-        (a != b) & (b != F.col("x_2")) & (F.levenshtein(a, b) >= cfg.min_edit) & ~text.is_strength_variant(a, b) & ~text.is_fragment(a, b, cfg.min_length_ratio) & (close | sounds),
-    )
-    scored = met.withColumn("ratio", distance.ratio_column(a, b)).where((F.col("ratio") > cfg.ratio_threshold) | sounds)
-    score = 0.5 * distance.spelling_similarity(a, b) + 0.5 * distance.jaro_winkler("ma", "mb")
-    best = Window.partitionBy("run").orderBy(F.desc("score"), F.desc("ratio"), "pos")
+    met = meet(with_codes(anchors), with_codes(names), compare, schema)
+    met = met.where((F.levenshtein(a, b) >= cfg.min_edit) & ~text.is_strength_variant(a, b) & ~text.is_fragment(a, b, cfg.min_length_ratio))
+    scored = met.withColumn("score", 0.5 * distance.spelling_similarity(a, b) + 0.5 * distance.jaro_winkler("ma", "mb"))
+    order = [F.desc("score"), F.desc("ratio"), "pos"]
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("x_1").orderBy(*order))).where(F.col("rank") <= cfg.candidate_limit + spare).drop("rank")
+    each = seeds.select("run", "x_1", F.col("x_2").alias("known")).join(best, "x_1").where(F.col("candidate") != F.col("known"))
     return (
-        scored.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cfg.candidate_limit)
-        .select("run", "x_1", F.col("x_2").alias("known"), "candidate", "rank")
+        each.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(*order))).where(F.col("rank") <= cfg.candidate_limit)
+        .select("run", "x_1", "known", "candidate", "rank")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearnames.config import CORE_SCORES
 from nearnames.functions import distance, features, phonetics
 from nearnames.functions.text import core_name
+from nearnames.runtime import materialise
 
 LANGS = ("eng", "fil")
 #: Names up to this many are broadcast when looked up or crossed; more are joined by shuffle.
@@ -54,13 +55,13 @@ def empty_transcriptions(pairs: DataFrame, langs: tuple[str, ...] = LANGS) -> Da
 def sound_scores(pairs: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
     """Spelling scores, then sound scores by stem and language; columns of those names are replaced.
 
-    ``fil`` is compared with stress marks. Spelling scores do not depend on language
+    ``fil`` is compared with stress marks, taken from __fil_1 and __fil_2 if they are there. Spelling scores do not depend on language
     and are computed once.
     """
     phonetic = {distance.phonetic_name(stem, x): (f, x) for stem, (f, on) in sorted(distance.PHONETIC.items()) for x in on if x in langs}
     names = [*sorted(distance.ORTHOGRAPHIC), *phonetic]
     pairs = pairs.drop(*names)
-    if "fil" in langs:
+    if "fil" in langs and "__fil_1" not in pairs.columns:
         stressed = phonetics.transcriptions(_both(pairs), ["fil"]).select("name", F.col("t_fil_stressed").alias("__fil"))
         pairs = lookup(pairs, stressed, ["__fil"])
     of = lambda x, s: F.coalesce(F.col(f"__fil_{s}" if x == "fil" else f"t_{x}_{s}"), F.lit(""))
@@ -78,16 +79,26 @@ def engineered(pairs: DataFrame) -> DataFrame:
     return features.add_missing(out, features.engineered("x_1", "x_2", F.col("__fil_1"), F.col("__fil_2"))).drop("__x_1", "__x_2", "__fil_1", "__fil_2")
 
 
+def cores(names: DataFrame, stressed: bool) -> DataFrame:
+    """(name, c, t): each distinct name's core word, and that word's stressed transcription if asked for."""
+    table = names.select("name").distinct().withColumn("c", core_name("name"))
+    if not stressed:
+        return table.withColumn("t", F.lit(""))
+    spoken = phonetics.transcriptions(table.select(F.col("c").alias("name")), ["fil"]).select(F.col("name").alias("c"), F.col("t_fil_stressed").alias("t"))
+    return table.join(spoken, "c", "left").select("name", "c", F.coalesce("t", F.lit("")).alias("t"))
+
+
 def core_scores(pairs: DataFrame, stems: tuple[str, ...] = CORE_SCORES) -> DataFrame:
-    """core_<stem> of the core words of both names; columns of those names are replaced."""
-    cores = pairs.drop(*[f"core_{k}" for k in stems]).withColumns({f"__c_{s}": core_name(F.coalesce(F.col(f"x_{s}"), F.lit(""))) for s in "12"})
-    if any(k in distance.PHONETIC for k in stems):
-        names = cores.select(F.explode(F.array("__c_1", "__c_2")).alias("name")).distinct()
-        stressed = phonetics.transcriptions(names, ["fil"]).select("name", F.col("t_fil_stressed").alias("t"))
+    """core_<stem> of the core words of both names (from __c_1, __t_1, ... if there); columns of those names are replaced."""
+    pairs = pairs.drop(*[f"core_{k}" for k in stems])
+    if "__c_1" not in pairs.columns:
+        plain = pairs.withColumns({f"__x_{s}": F.coalesce(F.col(f"x_{s}"), F.lit("")) for s in "12"})
+        table = cores(plain.select(F.explode(F.array("__x_1", "__x_2")).alias("name")), any(k in distance.PHONETIC for k in stems))
         for s in "12":
-            cores = cores.join(stressed.select(F.col("name").alias(f"__c_{s}"), F.col("t").alias(f"__t_{s}")), f"__c_{s}", "left")
-    score = lambda k: distance.PHONETIC[k][0](*[F.coalesce(F.col(f"__t_{s}"), F.lit("")) for s in "12"]) if k in distance.PHONETIC else distance.ORTHOGRAPHIC[k]("__c_1", "__c_2")
-    return cores.select("*", *[score(k).alias(f"core_{k}") for k in stems]).drop("__c_1", "__c_2", "__t_1", "__t_2")
+            plain = plain.join(table.select(F.col("name").alias(f"__x_{s}"), F.col("c").alias(f"__c_{s}"), F.col("t").alias(f"__t_{s}")), f"__x_{s}", "left")
+        pairs = plain.drop("__x_1", "__x_2")
+    score = lambda k: distance.PHONETIC[k][0]("__t_1", "__t_2") if k in distance.PHONETIC else distance.ORTHOGRAPHIC[k]("__c_1", "__c_2")
+    return pairs.select("*", *[score(k).alias(f"core_{k}") for k in stems]).drop("__c_1", "__c_2", "__t_1", "__t_2")
 
 
 def all_features(pairs: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
@@ -130,7 +141,15 @@ def lexicon_spelling(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 def lexicon_scores(queries: DataFrame, names: DataFrame, transcripts: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
     """Scored pool of every query with every name; features are floats, no engineered columns."""
-    pool = lookup(lexicon_pairs(queries, names), transcripts, [f"t_{x}" for x in langs if x != "fil"])
+    # All that belongs to a name is made once per name, before the names meet.
+    every = queries.select("name").union(names.select("name")).distinct()
+    table = every.join(transcripts.select("name", *[f"t_{x}" for x in langs if x != "fil"]), "name", "left")
+    if "fil" in langs:
+        table = table.join(phonetics.transcriptions(every, ["fil"]).select("name", F.col("t_fil_stressed").alias("__fil")), "name", "left")
+    table = materialise(table.join(cores(every, any(k in distance.PHONETIC for k in CORE_SCORES)).select("name", F.col("c").alias("__c"), F.col("t").alias("__t")), "name"), "lexicon")
+    side = lambda d, s: d.join(table, "name").select(*[F.col(c).alias(f"x_{s}" if c == "name" else f"{c}_{s}") for c in table.columns])
+    right = side(names.select("name"), 2)
+    pool = side(queries.select("name"), 1).join(F.broadcast(right) if names.count() <= FEW_NAMES else right, F.col("x_1") != F.col("x_2"))
     scored = core_scores(sound_scores(pool, langs)).drop(*[f"t_{x}_{s}" for x in langs for s in "12"])
     return scored.select("x_1", "x_2", *[F.col(f"`{c}`").cast("float").alias(c) for c in scored.columns if c not in ("x_1", "x_2")])
 

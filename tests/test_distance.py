@@ -158,9 +158,15 @@ def test_wrong_number_of_results_raises(spark):
         phonetics.once_per_name(names, "name", "x string", lambda xs: [("1",)] * 3, ["x"]).collect()
 
 
-def test_leading_words(spark):
-    df = spark.createDataFrame([("foo bar baz", "qux quux"), ("foo", "")], "a string, b string")
-    assert [r[0] for r in df.select(D.leading_words(F.col("a"), F.col("b"))).collect()] == ["foo bar", ""]
+def test_spelling_takes_leading_words(spark):
+    a = pd.Series(["foo bar baz", "foo", "aspirin", "neo aspirin forte", "", "  a  b"])
+    b = pd.Series(["foo bar", "foo qux", "aspirine", "neo aspirin", "", "a"])
+    lead = lambda x, y: " ".join(x.split()[: len(y.split())])
+    one = lambda x, y: float(D.jaro_winkler_batch(pd.Series([x]), pd.Series([y]))[0])
+    want = [max(one(x, y), one(x, lead(y, x)), one(lead(x, y), y)) for x, y in zip(a, b, strict=True)]
+    assert D.spelling_batch(a, b) == pytest.approx(want)
+    df = spark.createDataFrame(list(zip(a, b, strict=True)), "a string, b string").coalesce(1)
+    assert [r[0] for r in df.select(D.spelling_similarity("a", "b")).collect()] == pytest.approx(want)
 
 
 def test_wratio_batch_equals_pairs():
