@@ -7,17 +7,20 @@ command, ``all`` runs.
 from __future__ import annotations
 
 import argparse
+import shlex
 import sys
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nearnames.config import Config
+from nearnames.functions import chat, phonetics, programs, scorers
 from nearnames.operators import noise, proposer, relabel, scoring
 from nearnames.operators.pairs import label_counts
 from nearnames.plans import pipeline
-from nearnames.runtime import release
+from nearnames.runtime import materialise, release
 from nearnames.sources import io
 
 
@@ -45,18 +48,37 @@ def parser() -> argparse.ArgumentParser:
         if "io" in groups:
             c.add_argument("--input", required=True)
             c.add_argument("--output", required=True)
+        if "seeds" in groups:
+            c.add_argument("--input", help="seed pairs, in place of P_<source>.csv")
+        if "stage" in groups:
+            c.add_argument("--input", help="folder of the earlier stages' outputs, in place of --results")
+        if "stage" in groups or "seeds" in groups:
+            c.add_argument("--output", help="folder to write into, in place of --results")
+        if "model" in groups:
+            c.add_argument("--model-url", help="chat endpoint that chooses among candidates; without one, and without --model-command, a threshold stands in")
+            c.add_argument("--model", default="", help="model that the endpoint is asked for")
+            c.add_argument("--key-variable", default="", help="environment variable, on the workers, that holds the endpoint's key")
+            c.add_argument("--model-command", help="local model: a program that answers JSON lines, see process_proposer")
+        if "sound" in groups:
+            c.add_argument("--eng-command", help="English transcriber, a name a line in and out, such as 'espeak-ng -q --ipa -v en-us'")
+            c.add_argument("--fil-command", help="Filipino transcriber with --wordlist and --nbest, such as 'phonetisaurus-g2pfst --model=FILE'")
+            c.add_argument("--adapt-command", help="loanword adapter that answers JSON lines, see process_adapter")
+        if "scorers" in groups:
+            c.add_argument("--scorers", help="folder of scorers (*.toml), in place of the usual scores")
         return c
 
-    command("all", "every stage", "registry", "labelled", "target", "soft").add_argument("--from-file", action="store_true", help="take positives from P_<source>.csv, propose nothing")
-    command("propose", "add similar names to the known pairs", "registry").add_argument("--input", help="seed pairs")
-    command("noise", "sample unlabelled pairs", "registry", "labelled", "target", "soft")
-    command("assemble", "merge the labelled sources", "soft")
-    command("score", "add score columns")
-    command("featurize", "all features of any pairs", "io")
+    command("all", "every stage", "registry", "labelled", "target", "soft", "seeds", "model", "sound", "scorers").add_argument("--from-file", action="store_true", help="take positives from P_<source>.csv, propose nothing")
+    command("propose", "add similar names to the known pairs", "registry", "seeds", "model")
+    command("noise", "sample unlabelled pairs", "registry", "labelled", "target", "soft", "stage")
+    command("assemble", "merge the labelled sources", "soft", "stage", "sound")
+    command("score", "add score columns", "stage", "sound", "scorers")
+    f = command("featurize", "all features of any pairs", "sound", "scorers")
+    f.add_argument("--input", required=True)
+    f.add_argument("--output", help="by default the input's name with _pho.csv")
     r = command("relabel", "apply reviewed label changes", "io")
     r.add_argument("--changes", required=True)
     r.add_argument("--allow-missing", action="store_true")
-    command("lexicon", "score every query with every name", "io")
+    command("lexicon", "score every query with every name", "io", "sound", "scorers")
     c = command("combine", "union of a folder's CSV files, and one file per class", "io")
     c.add_argument("--class-col")
     c.add_argument("--pattern", default="*.csv")
@@ -64,7 +86,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--no-shuffle", dest="shuffle", action="store_false")
     c.add_argument("--deduplicate", action="store_true")
     c.add_argument("--include-d", action="store_true")
-    h = command("hard-negatives", "as many hard negatives as positives", "registry")
+    h = command("hard-negatives", "as many hard negatives as positives", "registry", "seeds", "sound", "scorers")
     h.add_argument("--oversample", type=int, default=Config.hardness_oversample)
     h.add_argument("--min-hardness", type=float, default=Config.min_hardness)
     h.add_argument("--max-hardness", type=float, default=Config.max_hardness)
@@ -91,11 +113,36 @@ class Run:
     def data(self, kind: str) -> str:
         return f"{self.args.data}/{kind}_{self.args.source}.csv"
 
+    def seeds(self) -> str:
+        return (getattr(self.args, "input", None) if self.args.command in ("all", "propose", "hard-negatives") else None) or self.data("P")
+
     def result(self, name: str) -> str:
-        return f"{self.args.results}/{name}"
+        return f"{getattr(self.args, 'output', None) or self.args.results}/{name}"
+
+    def earlier(self, name: str) -> str:
+        """Where an earlier stage has left ``name``: among this run's results if it runs them all."""
+        if self.args.command in ("all", "hard-negatives"):
+            return self.result(name)
+        return f"{getattr(self.args, 'input', None) or self.args.results}/{name}"
 
     def need(self, name: str, made_by: str) -> str:
-        return io.require(self.spark, self.result(name), f"nearnames {made_by}")
+        return io.require(self.spark, self.earlier(name), f"nearnames {made_by}")
+
+    def model(self):
+        a = self.args
+        if getattr(a, "model_url", None):
+            return chat.chat_proposer(a.model_url, a.model, a.key_variable)
+        return chat.process_proposer(shlex.split(a.model_command)) if getattr(a, "model_command", None) else None
+
+    def adapters(self) -> dict | None:
+        """Outside programs that were named, by what they do."""
+        named = {k: shlex.split(v) for k in ("eng", "fil", "adapt") if (v := getattr(self.args, f"{k}_command", None))}
+        make = {"eng": programs.line_adapter, "fil": programs.nbest_adapter, "adapt": lambda c: phonetics.process_adapter(c, StructType.fromDDL(phonetics.ADAPTATION).fieldNames())}
+        return {k: make[k](c) for k, c in named.items()} or None
+
+    def scorers(self) -> list[scorers.Scorer] | None:
+        folder = getattr(self.args, "scorers", None)
+        return scorers.load(folder) if folder else None
 
     def registry(self) -> DataFrame:
         if getattr(self.args, "registry", None):
@@ -107,8 +154,8 @@ class Run:
         a = self.args
         if getattr(a, "labelled", None):
             return io.labelled(self.spark, a.labelled)
-        run = self.result("lasa_run.json")
-        known = self.data("P") if getattr(a, "from_file", False) or not io.exists(self.spark, run) else None
+        run = self.earlier("lasa_run.json")
+        known = self.seeds() if getattr(a, "from_file", False) or not io.exists(self.spark, run) else None
         p = io.positives(self.spark, io.require(self.spark, known, "your list of positive pairs") if known else None, run)
         named = getattr(a, "rejected", None)
         return p, io.rejections(self.spark, named or self.data("N"), run, bool(named)) if soft_labels(a) else None
@@ -116,9 +163,10 @@ class Run:
     # ------------------------------------------------------------ commands
 
     def propose(self) -> None:
-        pairs = io.read_pairs(self.spark, io.require(self.spark, getattr(self.args, "input", None) or self.data("P"), "your list of seed pairs"))
-        seeds = proposer.seed_pairs(pairs).withColumn("run", F.monotonically_increasing_id() + 1)
-        io.write_json(proposer.propose(seeds, self.registry(), cfg=self.cfg), self.result("lasa_run.json"))
+        pairs = io.read_pairs(self.spark, io.require(self.spark, self.seeds(), "your list of seed pairs"))
+        # A run's number is fixed once it is written.
+        seeds = materialise(proposer.seed_pairs(pairs).withColumn("run", F.monotonically_increasing_id() + 1), "seeds")
+        io.write_json(proposer.propose(seeds, self.registry(), self.model(), self.cfg), self.result("lasa_run.json"))
 
     def noise(self) -> None:
         positive, rejected = self.labelled()
@@ -133,12 +181,12 @@ class Run:
     def assemble(self) -> None:
         positive, rejected = self.labelled()
         u = io.unlabelled(self.spark, self.need("U.csv", "noise"))
-        io.write_csv(pipeline.in_shuffled_order(pipeline.assemble(positive, u, rejected, self.cfg)), self.result("D.csv"))
-        label_counts(io.read_csv(self.spark, self.result("D.csv"))).show()
+        io.write_csv(pipeline.in_shuffled_order(pipeline.assemble(positive, u, rejected, self.cfg, self.adapters())), self.result("D.csv"))
+        label_counts(io.read_csv(self.spark, self.result("D.csv"), own=True)).show()
 
     def score(self) -> None:
-        before = io.read_csv(self.spark, self.need("D.csv", "assemble"))
-        after = pipeline.features(before)
+        before = io.read_csv(self.spark, self.need("D.csv", "assemble"), own=True)
+        after = pipeline.features(before, self.adapters(), self.scorers())
         io.write_csv(after, self.result("D_pho.csv"))
         print("new columns:", ", ".join(io.new_columns(before, after)))
 
@@ -151,12 +199,16 @@ class Run:
 
     def featurize(self) -> None:
         a = self.args
-        if a.input == a.output:
+        out = a.output or a.input.removesuffix(".csv") + "_pho.csv"
+        if a.input == out:
             raise ValueError("input and output are the same")
-        staged = a.output.removesuffix(".csv") + "_t.csv"
-        rows = io.read_pairs(self.spark, io.require(self.spark, a.input, "your table of pairs"))
-        io.write_csv(scoring.transcribe(rows.select(*[c for c in ("x_1", "x_2", "label") if c in rows.columns])), staged)
-        io.write_csv(scoring.all_features(io.read_csv(self.spark, staged)), a.output)
+        rows = io.read_pairs(self.spark, io.require(self.spark, a.input, "your table of pairs"), pos="input_place")
+        staged = scoring.transcribe(rows.select(*[c for c in ("x_1", "x_2", "label") if c in rows.columns], "input_place"), adapters=self.adapters())
+        staged = materialise(staged, "featurize")
+        # Rows keep the input's order.
+        io.write_csv(staged.orderBy("input_place").drop("input_place"), out.removesuffix(".csv") + "_t.csv")
+        done = scoring.all_features(staged, adapters=self.adapters(), own=self.scorers())
+        io.write_csv(done.orderBy("input_place").drop("input_place"), out)
 
     def relabel(self) -> None:
         a = self.args
@@ -172,7 +224,7 @@ class Run:
         rows = io.read_pairs(self.spark, self.args.input, missing=False, need=need).withColumn("pos", F.monotonically_increasing_id())
         names = rows.select(F.explode(F.array("x_1", "x_2")).alias("name")).distinct()
         asked = rows.where("label = '1'").select(F.explode(F.array("x_1", "x_2")).alias("name")).distinct()
-        io.write_parquet(scoring.lexicon_scores(asked, names, scoring.latest_transcripts(rows)), self.args.output)
+        io.write_parquet(scoring.lexicon_scores(asked, names, scoring.latest_transcripts(rows), adapters=self.adapters(), own=self.scorers()), self.args.output)
 
     def combine(self) -> None:
         a = self.args
@@ -183,12 +235,12 @@ class Run:
         a = self.args
         if a.min_hardness >= a.max_hardness:
             raise ValueError("--min-hardness must be below --max-hardness")
-        positive = io.read_pairs(self.spark, io.require(self.spark, self.data("P"), "your list of positive pairs")).select("x_1", "x_2").dropna()
+        positive = io.read_pairs(self.spark, io.require(self.spark, self.seeds(), "your list of positive pairs")).select("x_1", "x_2").dropna()
         mined = noise.make_noise(positive, self.registry(), replace(self.cfg, positive_prevalence=1 / (1 + a.oversample)))
         hard = pipeline.hard_negatives(positive, mined, a.min_hardness, a.max_hardness)
-        d = pipeline.assemble(positive, hard.select("x_1", "x_2"), None, self.cfg)
+        d = pipeline.assemble(positive, hard.select("x_1", "x_2"), None, self.cfg, self.adapters())
         io.write_csv(pipeline.in_shuffled_order(d), self.result("D.csv"))
-        io.write_csv(pipeline.features(io.read_csv(self.spark, self.result("D.csv"))), self.result("D_pho.csv"))
+        io.write_csv(pipeline.features(io.read_csv(self.spark, self.result("D.csv"), own=True), self.adapters(), self.scorers()), self.result("D_pho.csv"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -411,6 +411,68 @@ def aline_stress(a: str, b: str) -> float:
     return aline(a, b, True)
 
 
+@lru_cache(maxsize=2)
+def _aline_tables(stress: bool) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(number of each sound with and without stress, scores of one sound against one, and against two)."""
+    w = ALINE_STRESS if stress else ALINE_KONDRAK
+    symbols = [(s, marked) for s in SOUNDS for marked in (False, True)]
+    apart = np.array([[_apart(s, t, w) for t, _ in symbols] for s, _ in symbols])
+    vowel = np.array([int(SOUNDS[s][0]) for s, _ in symbols])
+    marks = np.array([m for _, m in symbols])
+    swap = w["substitute"] - apart - w["vowel"] * (vowel[:, None] + vowel[None, :]) - w["stress"] * (marks[:, None] != marks[None, :])
+    spread = w["expand"] - apart[:, :, None] - apart[:, None, :] - w["vowel"] * (vowel[:, None, None] + np.maximum(vowel[:, None], vowel[None, :])[None])
+    return {s: i for i, s in enumerate(symbols)}, swap, spread
+
+
+def _sound_numbers(names: pd.Series, number: dict) -> tuple[np.ndarray, np.ndarray]:
+    rows = [[number[s] for s in _segments(x)] for x in names]
+    n = np.array([len(r) for r in rows], dtype=np.int64)
+    out = np.zeros((len(rows), max(1, int(n.max()) if len(n) else 0)), dtype=np.int64)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out, n
+
+
+def _aline_scores(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, stress: bool) -> np.ndarray:
+    """``aline_score`` of each row's pair, all rows at a time."""
+    _, swap, spread = _aline_tables(stress)
+    skip, rows = float((ALINE_STRESS if stress else ALINE_KONDRAK)["skip"]), np.arange(len(x))
+    old = np.repeat(skip * np.arange(y.shape[1] + 1)[:, None], len(x), axis=1)
+    older, out = None, old[m, rows].copy()
+    for i in range(x.shape[1]):
+        new = np.empty_like(old)
+        new[0] = old[0] + skip
+        for j in range(y.shape[1]):
+            best = np.maximum(np.maximum(old[j + 1], new[j]) + skip, old[j] + swap[x[:, i], y[:, j]])
+            if j:
+                best = np.maximum(best, old[j - 1] + spread[x[:, i], y[:, j - 1], y[:, j]])
+            if older is not None:
+                best = np.maximum(best, older[j] + spread[y[:, j], x[:, i - 1], x[:, i]])
+            new[j + 1] = best
+        older, old = old, new
+        out = np.where(n == i + 1, new[m, rows], out)
+    return out
+
+
+def aline_batch(a: pd.Series, b: pd.Series, stress: bool = False) -> np.ndarray:
+    """``aline`` of pairs; a transcription's score with itself is worked out once."""
+    a, b = a.fillna("").reset_index(drop=True), b.fillna("").reset_index(drop=True)
+    number = _aline_tables(stress)[0]
+    own = pd.Series(pd.concat([a, b]).unique())
+    z, k = _sound_numbers(own, number)
+    place = pd.Series(np.arange(len(own)), index=own)
+    i, j = place.loc[a].to_numpy(), place.loc[b].to_numpy()
+    alone = _aline_scores(z, k, z, k, stress)
+    whole = alone[i] + alone[j]
+    score = _aline_scores(z[i], k[i], z[j], k[j], stress)
+    both = (k[i] > 0) & (k[j] > 0)
+    return np.where(both, np.clip(2 * score / np.where(both, whole, 1.0), 0.0, 1.0), ((k[i] == 0) & (k[j] == 0)).astype(float))
+
+
+def aline_stress_batch(a: pd.Series, b: pd.Series) -> np.ndarray:
+    return aline_batch(a, b, True)
+
+
 # ---------------------------------------------------------------- columns
 
 
@@ -489,8 +551,8 @@ ORTHOGRAPHIC: dict[str, Callable[..., Column]] = {
 
 #: Sound scores by stem, and the languages whose transcriptions they compare.
 PHONETIC: dict[str, tuple[Callable[..., Column], tuple[str, ...]]] = {
-    "aline_cangu": (lambda a, b: pair_udf(aline_stress)(_col(a), _col(b)), ("fil",)),
-    "aline_kondrak": (lambda a, b: pair_udf(aline)(_col(a), _col(b)), ("eng", "fil")),
+    "aline_cangu": (lambda a, b: batch_udf(aline_stress_batch)(_col(a), _col(b)), ("fil",)),
+    "aline_kondrak": (lambda a, b: batch_udf(aline_batch)(_col(a), _col(b)), ("eng", "fil")),
 }
 
 

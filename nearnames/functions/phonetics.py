@@ -205,13 +205,13 @@ def english_g2p(name: str) -> str:
     return " ".join(x for x in (_english(re.sub("[^a-zñ]", "", w)) for w in (name or "").lower().split()) if x)
 
 
-def _name_chunks(name: str) -> list[str]:
+def name_chunks(name: str) -> list[str]:
     return [p for p in (re.sub(r"\s+", "", x) for x in re.findall("[a-z]+|[^a-z]+", (name or "").lower())) if p]
 
 
 def filipino_g2p(name: str) -> str:
     """Runs of letters are decoded; digits and signs stay as they are."""
-    return "".join(_filipino(p) if re.fullmatch("[a-z]+", p) else p for p in _name_chunks(name))
+    return "".join(_filipino(p) if re.fullmatch("[a-z]+", p) else p for p in name_chunks(name))
 
 
 def stress_from_end(word: str) -> int:
@@ -233,7 +233,15 @@ def add_stress(ipa: str, from_end: int) -> str:
 
 
 def filipino_stressed(name: str) -> str:
-    return "".join(add_stress(_filipino(p), stress_from_end(p)) if re.fullmatch("[a-z]+", p) else p for p in _name_chunks(name))
+    return "".join(add_stress(_filipino(p), stress_from_end(p)) if re.fullmatch("[a-z]+", p) else p for p in name_chunks(name))
+
+
+def _stressed(names: list[str], transcribe: Callable[[list[str]], list[str]]) -> list[str]:
+    """Stress marks on what another transcriber says of each run of letters."""
+    parts = [name_chunks(x) for x in names]
+    words = sorted({p for row in parts for p in row if re.fullmatch("[a-z]+", p)})
+    said = dict(zip(words, transcribe(words), strict=True))
+    return ["".join(add_stress(said[p], stress_from_end(p)) if p in said else p for p in row) for row in parts]
 
 
 #: Transcribers by language; more can be registered.
@@ -282,8 +290,8 @@ def transcriptions(names: DataFrame, langs: Iterable[str], column: str = "name",
     def run(xs: list[str]) -> list[tuple]:
         columns = [list(f(xs)) for f in by.values()]
         if "fil" in by:
-            columns.append([filipino_stressed(x) for x in xs])
-            if "fil" not in (adapters or {}) and any(s.replace("ˈ", "") != p for s, p in zip(columns[-1], columns[list(by).index("fil")], strict=True)):
+            columns.append(_stressed(xs, by["fil"]) if "fil" in (adapters or {}) else [filipino_stressed(x) for x in xs])
+            if any(s.replace("ˈ", "") != p for s, p in zip(columns[-1], columns[list(by).index("fil")], strict=True)):
                 raise ValueError("stressed and plain transcriptions disagree: transcribe again")
         return list(zip(*columns, strict=True))
 

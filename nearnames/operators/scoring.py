@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearnames.config import CORE_SCORES
-from nearnames.functions import distance, features, phonetics
+from nearnames.functions import distance, features, phonetics, scorers
 from nearnames.functions.text import core_name
 from nearnames.runtime import materialise
 
@@ -43,7 +43,8 @@ def transcribe(pairs: DataFrame, langs: tuple[str, ...] = LANGS, adapters: dict
     if not todo:
         return pairs
     pairs = pairs.drop(*[f"t_{lang}_{s}" for lang in todo for s in "12"])
-    table = phonetics.transcriptions(_both(pairs), todo, adapters=adapters)
+    # Written once, as both sides look names up.
+    table = materialise(phonetics.transcriptions(_both(pairs), todo, adapters=adapters), "spoken")
     out = lookup(pairs, table, [f"t_{x}" for x in todo])
     return out.withColumns({f"t_{x}_{s}": F.coalesce(F.col(f"t_{x}_{s}"), F.lit("")) for x in todo for s in "12"})
 
@@ -71,7 +72,12 @@ def sound_scores(pairs: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
 
 
 def engineered(pairs: DataFrame) -> DataFrame:
-    """The 14 engineered columns in order; one that is there already stays. Names are adapted once each."""
+    """The 14 engineered columns in order; one that is there already stays.
+
+    Names are adapted once each, or adaptations taken from __ad_1 and __ad_2 if they are there.
+    """
+    if "__ad_1" in pairs.columns:
+        return features.add_missing(pairs, features.engineered("x_1", "x_2", F.col("__ad_1"), F.col("__ad_2"))).drop("__ad_1", "__ad_2")
     table = phonetics.adaptations(_both(pairs.select(*[F.coalesce(F.col(c), F.lit("nan")).alias(c) for c in ("x_1", "x_2")])))
     out = pairs.withColumns({f"__x_{s}": F.coalesce(F.col(f"x_{s}"), F.lit("nan")) for s in "12"})
     for s in "12":
@@ -79,12 +85,12 @@ def engineered(pairs: DataFrame) -> DataFrame:
     return features.add_missing(out, features.engineered("x_1", "x_2", F.col("__fil_1"), F.col("__fil_2"))).drop("__x_1", "__x_2", "__fil_1", "__fil_2")
 
 
-def cores(names: DataFrame, stressed: bool) -> DataFrame:
+def cores(names: DataFrame, stressed: bool, adapters: dict | None = None) -> DataFrame:
     """(name, c, t): each distinct name's core word, and that word's stressed transcription if asked for."""
     table = names.select("name").distinct().withColumn("c", core_name("name"))
     if not stressed:
         return table.withColumn("t", F.lit(""))
-    spoken = phonetics.transcriptions(table.select(F.col("c").alias("name")), ["fil"]).select(F.col("name").alias("c"), F.col("t_fil_stressed").alias("t"))
+    spoken = phonetics.transcriptions(table.select(F.col("c").alias("name")), ["fil"], adapters=adapters).select(F.col("name").alias("c"), F.col("t_fil_stressed").alias("t"))
     return table.join(spoken, "c", "left").select("name", "c", F.coalesce("t", F.lit("")).alias("t"))
 
 
@@ -101,16 +107,36 @@ def core_scores(pairs: DataFrame, stems: tuple[str, ...] = CORE_SCORES) -> DataF
     return pairs.select("*", *[score(k).alias(f"core_{k}") for k in stems]).drop("__c_1", "__c_2", "__t_1", "__t_2")
 
 
-def all_features(pairs: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
-    """D to D_pho: sound and spelling scores, engineered columns, core-word scores."""
-    return core_scores(engineered(sound_scores(pairs, langs)))
+def per_name(names: DataFrame, langs: tuple[str, ...] = LANGS, adapters: dict | None = None) -> DataFrame:
+    """(name, __fil, __ad, __c, __t) of each distinct name: stressed transcription, adaptation, core word and its transcription; written once."""
+    names = materialise(names.select("name").where("name IS NOT NULL").distinct(), "names")
+    spoken = phonetics.transcriptions(names, ["fil"], adapters=adapters).select("name", F.col("t_fil_stressed").alias("__fil")) if "fil" in langs else names.withColumn("__fil", F.lit(""))
+    core = cores(names, any(k in distance.PHONETIC for k in CORE_SCORES), adapters).select("name", F.col("c").alias("__c"), F.col("t").alias("__t"))
+    return materialise(spoken.join(phonetics.adaptations(names, adapter=(adapters or {}).get("adapt")).select("name", F.col("fil").alias("__ad")), "name").join(core, "name"), "names")
 
 
-def featurize(pairs: DataFrame) -> DataFrame:
-    """x_1, x_2 and label (if there) of any table of pairs, with transcriptions and all features."""
+def all_features(pairs: DataFrame, langs: tuple[str, ...] = LANGS, adapters: dict | None = None, own: list[scorers.Scorer] | None = None) -> DataFrame:
+    """D to D_pho: sound and spelling scores (or those of ``own`` scorers), engineered columns, core-word scores.
+
+    All that belongs to a name is made once per distinct name. A missing name is spoken
+    as nothing, adapted as the word nan, and has no core word.
+    """
+    missing = pairs.sparkSession.createDataFrame([("nan",)], "name string")
+    table = per_name(_both(pairs).union(missing), langs, adapters)
+    nan = table.where("name = 'nan'").select("__ad").first()[0]
+    nan = F.struct(*[F.lit(v).alias(k) for k, v in nan.asDict().items()])
+    looked = lookup(pairs, table, ["__fil", "__ad", "__c", "__t"])
+    looked = looked.withColumns({f"__ad_{s}": F.coalesce(f"__ad_{s}", nan) for s in "12"} | {f"{c}_{s}": F.coalesce(f"{c}_{s}", F.lit("")) for c in ("__c", "__t") for s in "12"})
+    scored = sound_scores(looked, langs) if own is None else scorers.score(looked, own, langs).drop("__fil_1", "__fil_2")
+    return core_scores(engineered(scored))
+
+
+def featurize(pairs: DataFrame, adapters: dict | None = None, own: list[scorers.Scorer] | None = None, pos: str | None = None) -> DataFrame:
+    """x_1, x_2 and label (if there) of any table of pairs, with transcriptions and all features; with ``pos``, that column too."""
     if missing := {"x_1", "x_2"}.difference(pairs.columns):
         raise ValueError(f"columns are missing: {sorted(missing)}")
-    return all_features(transcribe(pairs.select(*[c for c in ("x_1", "x_2", "label") if c in pairs.columns])))
+    rows = pairs.select(*[c for c in ("x_1", "x_2", "label") if c in pairs.columns], *([pos] if pos else []))
+    return all_features(transcribe(rows, adapters=adapters), adapters=adapters, own=own)
 
 
 def latest_transcripts(pairs: DataFrame, langs: tuple[str, ...] = LANGS, pos: str = "pos") -> DataFrame:
@@ -139,18 +165,19 @@ def lexicon_spelling(queries: DataFrame, names: DataFrame) -> DataFrame:
     return features.add_missing(met, features.spelling_from_counts("x_1", "x_2", F.col("__1"), F.col("__2"))).drop("__1", "__2")
 
 
-def lexicon_scores(queries: DataFrame, names: DataFrame, transcripts: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
-    """Scored pool of every query with every name; features are floats, no engineered columns."""
+def lexicon_scores(queries: DataFrame, names: DataFrame, transcripts: DataFrame, langs: tuple[str, ...] = LANGS, adapters: dict | None = None, own: list[scorers.Scorer] | None = None) -> DataFrame:
+    """Scored pool of every query with every name; features are floats, no engineered columns. ``own`` scorers take the place of the usual ones."""
     # All that belongs to a name is made once per name, before the names meet.
     every = queries.select("name").union(names.select("name")).distinct()
-    table = every.join(transcripts.select("name", *[f"t_{x}" for x in langs if x != "fil"]), "name", "left")
+    table = every.join(transcripts.select("name", *[f"t_{x}" for x in langs if x != "fil" or own is not None]), "name", "left")
     if "fil" in langs:
-        table = table.join(phonetics.transcriptions(every, ["fil"]).select("name", F.col("t_fil_stressed").alias("__fil")), "name", "left")
-    table = materialise(table.join(cores(every, any(k in distance.PHONETIC for k in CORE_SCORES)).select("name", F.col("c").alias("__c"), F.col("t").alias("__t")), "name"), "lexicon")
+        table = table.join(phonetics.transcriptions(every, ["fil"], adapters=adapters).select("name", F.col("t_fil_stressed").alias("__fil")), "name", "left")
+    table = materialise(table.join(cores(every, any(k in distance.PHONETIC for k in CORE_SCORES), adapters).select("name", F.col("c").alias("__c"), F.col("t").alias("__t")), "name"), "lexicon")
     side = lambda d, s: d.join(table, "name").select(*[F.col(c).alias(f"x_{s}" if c == "name" else f"{c}_{s}") for c in table.columns])
     right = side(names.select("name"), 2)
     pool = side(queries.select("name"), 1).join(F.broadcast(right) if names.count() <= FEW_NAMES else right, F.col("x_1") != F.col("x_2"))
-    scored = core_scores(sound_scores(pool, langs)).drop(*[f"t_{x}_{s}" for x in langs for s in "12"])
+    heard = sound_scores(pool, langs) if own is None else scorers.score(pool, own, langs).drop("__fil_1", "__fil_2")
+    scored = core_scores(heard).drop(*[f"t_{x}_{s}" for x in langs for s in "12"])
     return scored.select("x_1", "x_2", *[F.col(f"`{c}`").cast("float").alias(c) for c in scored.columns if c not in ("x_1", "x_2")])
 
 

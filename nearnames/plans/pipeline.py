@@ -22,9 +22,9 @@ def in_shuffled_order(d: DataFrame) -> DataFrame:
     return d.orderBy("shuffle_key", "x_1", "x_2").drop("shuffle_key")
 
 
-def features(d: DataFrame) -> DataFrame:
+def features(d: DataFrame, adapters: dict | None = None, own: list | None = None) -> DataFrame:
     """D_pho."""
-    return scoring.all_features(d.drop("shuffle_key"))
+    return scoring.all_features(d.drop("shuffle_key"), adapters=adapters, own=own)
 
 
 def build(positives: DataFrame, registry: DataFrame, rejected: DataFrame | None = None, target: int | None = None, cfg: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:

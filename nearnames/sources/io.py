@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +14,25 @@ from nearnames.config import REJECTED
 from nearnames.functions.text import ordered_hash
 from nearnames.operators import pairs as P
 from nearnames.operators.proposer import RUN, proposed_pairs, unselected_pairs
+from nearnames.runtime import discard, fresh, materialise
 
 # Strings that count as missing where missing values are read as such.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 CLASS_COLUMNS = ("label", "class", "target", "category")
 
 
-def read_csv(spark: SparkSession, path: str, missing: bool = True, header: bool = True) -> DataFrame:
-    """All columns as strings. ``missing``: the usual strings are null; else all are kept, and empty ones are ''."""
-    df = spark.read.csv(path, header=header, escape='"', multiLine=True, nullValue=None, emptyValue="")
-    for c in df.columns:
+def read_csv(spark: SparkSession, path: str, missing: bool = True, header: bool = True, own: bool = False, pos: str | None = None) -> DataFrame:
+    """All columns as strings. ``missing``: the usual strings are null; else all are kept, and empty ones are ''.
+
+    A quoted field may hold line breaks, which makes each file one task; in tables of
+    clean names that this engine wrote itself (``own``) none does, and files are split.
+    ``pos`` adds a sortable column of that name with each row's place: its file, and where it is there.
+    """
+    df = spark.read.csv(path, header=header, escape='"', multiLine=not own, nullValue=None, emptyValue="")
+    names = df.columns
+    if pos:
+        df = df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias(pos))
+    for c in names:
         q = F.col(f"`{c}`")
         df = df.withColumn(c, F.when(~q.isin(MISSING), q) if missing else F.coalesce(q, F.lit("")))
     return df
@@ -80,19 +91,32 @@ def registry_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, raw_path: str, cache_path: str, use_cache: bool = True) -> DataFrame:
-    """The cached clean registry if allowed and there, else the raw one cleaned, and cached."""
+    """The cached clean registry if allowed and there, else the raw one cleaned, reported on, and cached."""
     if use_cache and exists(spark, cache_path):
         return clean_registry_file(spark, cache_path)
-    out = P.clean_registry(raw_registry(spark, raw_path), pos="pos")
+    raw = raw_registry(spark, raw_path)
+    for line in registry_notes(raw):
+        print(line)
+    out = P.clean_registry(raw, pos="pos")
     write_csv(out.orderBy("pos").select("drug_name"), cache_path)
     return out
 
 
+def registry_notes(raw: DataFrame) -> list[str]:
+    """What is unusual about a raw registry, and what cleaning leaves of it."""
+    r = P.registry_report(raw).first()
+    notes = [
+        (r["is_small"], f"warning: the registry has only {r['n_raw']:,} rows"), (r["n_null"], f"warning: {r['n_null']:,} rows are missing values"),
+        (r["n_duplicate"], f"warning: {r['n_duplicate']:,} rows repeat a name"), (True, f"registry: {r['n_raw']:,} rows, {r['n_clean']:,} clean names, {r['n_dropped']:,} dropped"),
+    ]
+    return [text for there, text in notes if there]
+
+
 # ---------------------------------------------------------------- pairs
 
 
-def read_pairs(spark: SparkSession, path: str, missing: bool = True, need: Iterable[str] = ("x_1", "x_2")) -> DataFrame:
-    df = P.with_aliases(read_csv(spark, path, missing))
+def read_pairs(spark: SparkSession, path: str, missing: bool = True, need: Iterable[str] = ("x_1", "x_2"), pos: str | None = None) -> DataFrame:
+    df = P.with_aliases(read_csv(spark, path, missing, pos=pos))
     if gone := set(need).difference(df.columns):
         raise ValueError(f"{path}: columns are missing: {sorted(gone)}")
     return df
@@ -103,7 +127,7 @@ def labelled(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def unlabelled(spark: SparkSession, path: str) -> DataFrame:
-    df = read_pairs(spark, path)
+    df = P.with_aliases(read_csv(spark, path, own=True))
     return df.select("x_1", "x_2", F.expr("try_cast(similarity AS double)").alias("similarity"), F.expr("try_cast(tier AS int)").alias("tier"), F.lit(0).alias("label"))
 
 
@@ -156,15 +180,13 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def class_file(value) -> str:
-    """A class value as part of a file name; null is 'nan'."""
-    return re.sub(r"[^\w.-]+", "_", "nan" if value is None else str(value)).strip("_") or "empty"
-
-
 def combine_csv(
     spark: SparkSession, folder: str, out: str | None = None, class_col: str | None = None, pattern: str = "*.csv", seed: int = 42, shuffle: bool = True, deduplicate: bool = False, include_d: bool = False
 ) -> dict[str, str]:
-    """Union of a folder's CSV files as D.csv, and a D_<class>.csv per class; an unreadable file is passed over."""
+    """Union of a folder's CSV files as D.csv, and a D_<class>.csv per class; an unreadable file is passed over.
+
+    In a file's name, runs of characters other than letters, digits, _, . and - are one _; a missing class is nan.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path) or []
     names = sorted(s.getPath().toString() for s in found)
@@ -181,12 +203,29 @@ def combine_csv(
     if deduplicate:
         whole = whole.dropDuplicates()
     col = class_column(whole, class_col)
-    if shuffle:
-        whole = whole.orderBy(ordered_hash(seed, *[f"`{c}`" for c in whole.columns]))
-    target, made = out or folder, {}
-    write_csv(whole, made.setdefault("D", f"{target}/D.csv"))
-    for r in whole.select(f"`{col}`").distinct().collect():  # classes are few
-        write_csv(whole.where(F.col(f"`{col}`").eqNullSafe(r[0])), made.setdefault(f"D_{class_file(r[0])}", f"{target}/D_{class_file(r[0])}.csv"))
+    # One read, and one write for all classes: Spark parts them, and their folders get their names.
+    whole = materialise(whole, "combine")
+    place = ordered_hash(seed, *[f"`{c}`" for c in whole.columns]) if shuffle else F.lit(0)
+    part, target = fresh("class_part", whole), out or folder
+    ordered = whole.orderBy(place) if shuffle else whole
+    made = {"D": f"{target}/D.csv"}
+    write_csv(ordered, made["D"])
+    value = F.regexp_replace(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("nan")), r"[^\w.-]+", "_")
+    value = F.regexp_replace(value, "^_+|_+$", "")
+    staged = f"{target}/.classes-{uuid.uuid4().hex}"
+    classed = ordered.withColumn(part, F.when(value == "", "empty").otherwise(value))
+    classed.sortWithinPartitions(part, place).write.partitionBy(part).csv(staged, header=True, escape='"')
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(jvm_path(staged)):
+        name = status.getPath().getName()
+        if name.startswith(f"{part}="):
+            k = f"D_{unquote(name.split('=', 1)[1])}"
+            made[k] = f"{target}/{k}.csv"
+            fs.delete(jvm_path(made[k]), True)
+            fs.rename(status.getPath(), jvm_path(made[k]))
+    fs.delete(jvm_path(staged), True)
+    discard(whole)
     return made
 
 

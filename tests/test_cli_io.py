@@ -1,4 +1,6 @@
+import csv
 import json
+import sys
 
 import pytest
 
@@ -43,6 +45,51 @@ def test_propose_and_featurize(spark, data):
     assert io.read_csv(spark, str(data / "out/F.csv")).count() == 2
 
 
+ANSWERS = """import json, sys
+for line in sys.stdin:
+    asked = json.loads(line)
+    names = asked["prompt"].split("Candidate Drugs:\\n")[1].split("\\n\\n")[0].split("\\n")
+    print(json.dumps({"content": names[0].upper() + "\\nsomething else", "reasoning": "it said so"}), flush=True)
+"""
+LINES = """import sys
+for line in sys.stdin:
+    print(line.strip().replace("c", "k").replace("g", "ɡ"))
+"""
+NBEST = """import sys
+words = next(a for a in sys.argv if a.startswith("--wordlist=")).split("=", 1)[1]
+for w in open(words):
+    print(w.strip() + "\\t0.5\\t" + " ".join(w.strip()))
+    print(w.strip() + "\\t0.9\\tz z")
+"""
+
+
+def test_model_program_and_adapters(spark, data):
+    """A local model, outside transcribers and scorers from TOML files, all by the command line; rows keep their order."""
+    for name, text in (("answers", ANSWERS), ("lines", LINES), ("nbest", NBEST)):
+        (data / f"{name}.py").write_text(text)
+    assert run(spark, data, "propose", "--model-command", f"{sys.executable} {data}/answers.py", "--output", str(data / "other")) == 0
+    rows = io.proposer_run(spark, str(data / "other/lasa_run.json")).collect()
+    assert all(r["x_2"] == r["candidates"][:1] and r["reasoning"] == "it said so" for r in rows) and any(r["candidates"] for r in rows)
+    (data / "toml").mkdir()
+    (data / "toml/prefix.toml").write_text('algorithm = "prefix"\n')
+    (data / "toml/aline.toml").write_text('algorithm = "aline"\n')
+    pairs = [("zantac", "zentac"), ("aprinol", "aprinal"), ("dugorov", "dugorev"), ("sorulin", "surilin 5")]
+    (data / "pairs.csv").write_text("x_1,x_2\n" + "".join(f"{a},{b}\n" for a, b in pairs))
+    sound = ["--eng-command", f"{sys.executable} {data}/lines.py", "--fil-command", f"{sys.executable} {data}/nbest.py"]
+    assert run(spark, data, "featurize", "--input", str(data / "pairs.csv"), "--scorers", str(data / "toml"), *sound) == 0
+    got = [r for p in sorted((data / "pairs_pho.csv").glob("part-*")) for r in csv.DictReader(p.open())]
+    assert [(r["x_1"], r["x_2"]) for r in got] == pairs
+    assert [(r["t_eng_1"], r["t_eng_2"]) for r in got] == [(a.replace("c", "k"), b.replace("c", "k")) for a, b in pairs]
+    assert [r["t_fil_2"] for r in got] == [b.replace(" ", "") for _, b in pairs]
+    assert "prefix" in got[0] and "aline_g2p:eng" in got[0] and "bisim" not in got[0] and "core_bisim" in got[0]
+
+
+def test_registry_is_reported_on(spark, data, capsys):
+    assert run(spark, data, "propose") == 0
+    said = capsys.readouterr().out
+    assert "only 21 rows" in said and "21 rows, 20 clean names, 1 dropped" in said
+
+
 def test_errors(spark, data, capsys):
     assert run(spark, data, "score") == 1
     assert "assemble" in capsys.readouterr().err

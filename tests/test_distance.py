@@ -158,6 +158,15 @@ def test_wrong_number_of_results_raises(spark):
         phonetics.once_per_name(names, "name", "x string", lambda xs: [("1",)] * 3, ["x"]).collect()
 
 
+@pytest.mark.parametrize("stress", [False, True])
+def test_aline_batch_equals_pairs(stress):
+    rng = random.Random(2)
+    spoken = ["".join(rng.choice([*D.SOUNDS, "ˈ", "?"]) for _ in range(rng.randint(0, 11))) for _ in range(120)]
+    a, b = [rng.choice(spoken) for _ in range(900)] + ["", ""], [rng.choice(spoken) for _ in range(900)] + ["", "a"]
+    got = D.aline_batch(pd.Series(a), pd.Series(b), stress)
+    assert got.tolist() == [D.aline(x, y, stress) for x, y in zip(a, b, strict=True)]
+
+
 def test_spelling_takes_leading_words(spark):
     a = pd.Series(["foo bar baz", "foo", "aspirin", "neo aspirin forte", "", "  a  b"])
     b = pd.Series(["foo bar", "foo qux", "aspirine", "neo aspirin", "", "a"])
