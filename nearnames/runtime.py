@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bounds of an Arrow batch that goes to Python: rows, and bytes (a batch ends with the row that passes them).
 BATCH_ROWS, BATCH_BYTES = "1000", str(4 << 20)
+#: Rows that Spark's Parquet reader decodes at a time: long texts would make great arrays of its 4,096.
+READ_ROWS = "512"
 #: Characters of texts that an operator works on at a time; a longer text is worked on alone.
 SLICE_CHARS = 1 << 20
 
@@ -34,14 +36,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Ship the package, and bound Arrow batches in rows and bytes.
+    """Ship the package, and bound Arrow batches in rows and bytes, and the batches of the Parquet reader.
 
     Lazy results read these settings when they run, so they stay set; a setting that the
     session's owner has changed from Spark's default is left alone.
     """
     ship(spark)
-    for name, default, bound in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
+    bounds = (("execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES), ("parquet.columnarReaderBatchSize", "4096", READ_ROWS))
+    for name, default, bound in bounds:
+        key = f"spark.sql.{name}"
         if spark.conf.get(key) == default:
             spark.conf.set(key, bound)
 
