@@ -113,15 +113,8 @@ def registry_quality_report(spark, sf):
     return pairs.registry_report(fx.raw_registry(spark, sf))
 
 
-@query("SELECT doc_id, strip_accents(w) AS bare, trim(regexp_replace(regexp_replace(strip_accents(lower(w)), '[-/'']', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS clean FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents WHERE lang IN ('fr', 'de', 'es'))")
-def strip_diacritics(spark, sf):
-    first = spark.read.parquet(f"{sf}/documents.parquet").where("lang IN ('fr', 'de', 'es')").select("doc_id", F.try_element_at(F.split("text", " "), F.lit(1)).alias("w"))
-    return first.select("doc_id", text.strip_diacritics("w").alias("bare"), text.clean_name("w").alias("clean"))
-
-
 @query(r"SELECT doc_id, strip_accents(text) AS bare, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(regexp_replace(lower(text), '^\s+|\s+$', '', 'g')), '[-/'']', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS clean FROM documents")
-def strip_diacritics_whole(spark, sf):
-    """Whole texts of all documents; ``strip_diacritics`` has only first words of three languages, as its SQL does."""
+def strip_diacritics(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.select("doc_id", text.strip_diacritics("text").alias("bare"), text.clean_name("text").alias("clean"))
 
@@ -463,17 +456,28 @@ def empty_transcription_counts(spark, sf):
     return scoring.empty_transcriptions(scoring.transcribe(fx.positives(spark, sf), ("eng",)), ("eng",)).select("empty_eng_1", "empty_eng_2")
 
 
-# ---------------------------------------------------------------- beyond SQL: held against Python twins in the tests
+# Length of the longest common subsequence: rows of the usual table, each folded from the one before.
+_LCS = """list_reduce(list_prepend(list_prepend(0::BIGINT, list_transform(range(1, length({b}) + 1), lambda j: 0::BIGINT)), list_transform(range(1, length({a}) + 1), lambda i: [i])),
+    lambda last, i: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length({b}) + 1), lambda j: [j])),
+        lambda row, j: list_append(row, CASE WHEN {a}[i[1]] = {b}[j[1]] THEN last[j[1]] + 1 ELSE greatest(last[j[1] + 1], row[-1]) END)))[-1]"""
+_RATIO = lambda a, b: f"(200.0::DOUBLE * {_LCS.format(a=a, b=b)} / (length({a}) + length({b})))"
 
 
-@query()
+@query(_SCORE(_RATIO("x_1", "x_2")))
+def ratio_pairs(spark, sf):
+    return _scores(spark, sf, distance.ratio_column)
+
+
+# These names are single words, for which the weighted ratio is the ratio, or with unlike lengths that of the best window too.
+@query(_with(f"SELECT x_1, x_2, round(CASE WHEN n >= 1.5 * m THEN greatest(r, 0.9::DOUBLE * p) ELSE r END, 9) AS score FROM r JOIN (SELECT x_1, x_2, max({_RATIO('s', 'w')}) AS p FROM w GROUP BY ALL) USING (x_1, x_2)",
+    "p", "n", "u", t=_SOME,
+    r=f"SELECT x_1, x_2, {_RATIO('x_1', 'x_2')} AS r, greatest(length(x_1), length(x_2)) AS n, least(length(x_1), length(x_2)) AS m, CASE WHEN length(x_1) <= length(x_2) THEN x_1 ELSE x_2 END AS s, CASE WHEN length(x_1) <= length(x_2) THEN x_2 ELSE x_1 END AS l FROM t",
+    w="SELECT DISTINCT x_1, x_2, s, unnest(list_concat(list_transform(range(1, n - m + 2), lambda i: l[i:i + m - 1]), list_concat(list_transform(range(1, m), lambda i: l[1:i]), list_transform(range(1, m), lambda i: l[-i:])))) AS w FROM r"))
 def wratio_pairs(spark, sf):
     return _scores(spark, sf, distance.wratio_column)
 
 
-@query()
-def ratio_pairs(spark, sf):
-    return _scores(spark, sf, distance.ratio_column)
+# ---------------------------------------------------------------- beyond SQL: held against Python twins in the tests
 
 
 @query()
@@ -489,12 +493,12 @@ def editex_bisim_visual(spark, sf):
 
 @query()
 def aline(spark, sf):
-    return scoring.sound_scores(scoring.transcribe(fx.positives(spark, sf)))
+    return scoring.sound_scores(assemble_full(spark, sf).drop("shuffle_key"))
 
 
 @query()
 def fil_features(spark, sf):
-    return scoring.engineered(fx.positives(spark, sf))
+    return scoring.engineered(pairs.priority_union(fx.positives(spark, sf), fx.rejected(spark, sf), fx.unlabeled(spark, sf)))
 
 
 @query()

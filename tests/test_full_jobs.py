@@ -39,7 +39,7 @@ def test_features_cover_all_sources(spark):
 
 
 def test_diacritics_go_from_whole_texts(spark):
-    got = {r["doc_id"]: r for r in catalog.QUERIES["strip_diacritics_whole"](spark, SF).collect()}
+    got = {r["doc_id"]: r for r in catalog.QUERIES["strip_diacritics"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert len(got) == len(docs)
     for d in docs:
