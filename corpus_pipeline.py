@@ -40,7 +40,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Without trusted labels all rows with a text stay.
     """
-    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True)
+    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True, folded=False)
     return _without(docs, found.select("doc_id", "text_key", "kept"))
 
 

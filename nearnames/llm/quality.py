@@ -1,6 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over folded characters (``SYMBOLS`` of them), order 4.
+The model is over characters, order 4: every code point is a symbol of its own, so texts
+of any script keep all that they say. ``classify`` can also take folded characters
+(``SYMBOLS`` of them, letters without their case and other scripts in a few buckets).
 
 1. Tasks count the 4-grams of trusted texts; shards of counts are summed.
 2. One more scan lists the distinct 4-grams of all documents with their frequencies.
@@ -19,9 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from nearnames.llm.frequency import frequent_from, is_frequent, with_rare
 from nearnames.runtime import discard, materialise, slices, tune, worker_state
@@ -31,6 +35,10 @@ ORDER = 4
 HOT = 65_536
 #: Folded characters: 0 space, 1 newline, 2-27 a to z, 28 capital, 29 digit, 30-34 . , ' - :, 35-42 other letters by code point, 43-47 other marks by code point.
 SYMBOLS = 48
+#: Code points, the symbols of unfolded texts.
+CHARACTERS = 0x110000
+#: Distinct n-grams that a task holds before it sums them up.
+HELD = 500_000
 QUANTILE = 0.995
 #: Steps of log perplexity in which quantiles are counted.
 STEP = 0.001
@@ -75,23 +83,92 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[own], n
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _pairs(a: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """(the number of each pair of neighbours, what the numbers stand for if it is not first * base + second, how many numbers there are)."""
+    pair = a[:-1] * base + a[1:]
+    if base**ORDER < 2**63:
+        return pair, None, base**2
+    found = pa.array(pair).dictionary_encode()  # so many characters that numbers of four would overflow
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy(), len(found.dictionary)
+
+
+def character_grams(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct 4-grams of characters, which of them each character ends, number of characters of each text).
+
+    A 4-gram is 12 bytes, 3 for each code point. A text starts after three newlines.
+    """
+    whole = np.frombuffer("".join(["\n\n\n" + t for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    if not n.sum():
+        return pa.array([], pa.binary()), np.zeros(0, np.int64), n
+    letters = np.flatnonzero(np.bincount(whole, minlength=CHARACTERS))
+    number = np.zeros(CHARACTERS, dtype=np.int64)
+    number[letters] = np.arange(len(letters))
+    pair, names, size = _pairs(number[whole], len(letters))
+    own = np.ones(len(whole), bool)
+    starts = np.concatenate([[0], np.cumsum(n + 3)[:-1]]).astype(np.int64)
+    for k in range(3):
+        own[starts + k] = False
+    found = pa.array((pair[:-2] * size + pair[2:])[own[3:]]).dictionary_encode()
+    both = found.dictionary.to_numpy()
+    halves = [x if names is None else names[x] for x in (both // size, both % size)]
+    four = np.stack([letters[x] for half in halves for x in (half // len(letters), half % len(letters))], axis=1)
+    raw = np.ascontiguousarray(four.astype(">u4").view(np.uint8).reshape(-1, ORDER, 4)[:, :, 1:])
+    offsets = np.arange(len(four) + 1, dtype=np.int32) * 3 * ORDER
+    return pa.Array.from_buffers(pa.binary(), len(four), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), found.indices.to_numpy().astype(np.int64), n
+
+
+def folded_grams(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``character_grams`` of folded characters: a 4-gram is its code."""
+    code, n = grams(texts)
+    found = pa.array(code, pa.int32()).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64), n
+
+
+def is_folded(table: DataFrame) -> bool:
+    """Whether the n-grams of a table are of folded characters."""
+    return not isinstance(table.schema["code"].dataType, BinaryType)
+
+
+def _last(code: Column, n: int, folded: bool) -> Column:
+    """The last ``n`` symbols of an n-gram."""
+    return (code % SYMBOLS**n).cast("int") if folded else F.substring(code, -3 * n, 3 * n)
+
+
+def _but_last(code: Column, n: int, folded: bool) -> Column:
+    """An n-gram of ``n`` symbols without the last."""
+    return (code / SYMBOLS).cast("int") if folded else F.substring(code, 1, 3 * (n - 1))
+
+
+def count_grams(docs: DataFrame, text_col: str = "text", folded: bool = True) -> DataFrame:
     """(code, n) over all texts; null texts count as empty."""
     tune(docs.sparkSession)
+    scan = folded_grams if folded else character_grams
 
     def run(batches):
-        total = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
+        held, rows = [], 0
+
+        def summed():
+            t = pa.concat_tables(held).group_by("code", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"code": t["code"], "n": t["n_sum"]})
+
         for batch in batches:
             for texts in slices(batch.column(0).to_pylist()):
-                code, _ = grams(texts)
-                got, n = np.unique(code, return_counts=True)
-                total[got] += n
-        there = np.flatnonzero(total)
-        for i in range(0, len(there), 50_000):
-            part = there[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["code", "n"])
-
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+                code, index, _ = scan(texts)
+                held.append(pa.table({"code": code, "n": np.bincount(index, minlength=len(code)).astype(np.int64)}))
+                rows += len(code)
+                if rows > HELD:
+                    held = [summed()]
+                    # A table that sums don't make much smaller goes on.
+                    if len(held[0]) > HELD // 2:
+                        yield from held[0].to_batches(max_chunksize=50_000)
+                        held = []
+                    rows = sum(map(len, held))
+        if held:
+            yield from summed().to_batches(max_chunksize=50_000)
+
+    kind = "int" if folded else "binary"
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"code {kind}, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
@@ -108,7 +185,7 @@ def _order(table: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     few = {r["c"]: r["k"] for r in table.where("c <= 4").groupBy("c").agg(F.count("*").alias("k")).collect()}
     d = discounts(few)
     cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    each = table.withColumn("context", (F.col("code") / SYMBOLS).cast("int")).withColumn("cut", cut)
+    each = table.withColumn("context", _but_last(F.col("code"), n, is_folded(table))).withColumn("cut", cut)
     # Whole numbers, so that the order of addition doesn't matter.
     totals = each.groupBy("context").agg(F.sum("c").alias("total"), F.sum(F.round(F.col("cut") * 1e9).cast("long")).alias("off"))
     own = each.join(totals, "context").select("code", ((F.col("c") - F.col("cut")) / F.col("total")).alias("p"))
@@ -121,21 +198,22 @@ def log_probabilities(seen: DataFrame, counts: DataFrame) -> DataFrame:
     ``counts`` (code, n) are those of trusted text. Joins go from the lowest order up:
     p = own + left of the context * p of the suffix.
     """
-    table, tables = counts.select("code", F.col("n").alias("c")), {}
+    table, tables, folded = counts.select("code", F.col("n").alias("c")), {}, is_folded(counts)
+    code = F.col("code")
     for n in range(ORDER, 0, -1):
         tables[n] = table
         # A lower order counts the distinct symbols that stand before.
-        table = table.groupBy((F.col("code") % SYMBOLS ** (n - 1)).alias("code")).agg(F.count("*").alias("c"))
+        table = table.groupBy(_last(code, n - 1, folded).alias("code")).agg(F.count("*").alias("c"))
     lower = None
     for n in range(1, ORDER + 1):
         own, left = _order(tables[n], n)
-        wanted = seen.select((F.col("code") % SYMBOLS**n).alias("code")).distinct() if n < ORDER else seen
-        here = wanted.withColumn("context", (F.col("code") / SYMBOLS).cast("int")).withColumn("suffix", (F.col("code") % SYMBOLS ** (n - 1)).cast("int"))
+        wanted = seen.select(_last(code, n, folded).alias("code")).distinct() if n < ORDER else seen
+        here = wanted.withColumn("context", _but_last(code, n, folded)).withColumn("suffix", _last(code, n - 1, folded))
         here = here.join(own, "code", "left").join(left, "context", "left")
-        here = here.withColumn("below", F.lit(1.0 / SYMBOLS)) if lower is None else here.join(lower, "suffix")
+        here = here.withColumn("below", F.lit(1.0 / (SYMBOLS if folded else CHARACTERS))) if lower is None else here.join(lower, "suffix")
         p = F.coalesce("p", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("below")
         if n < ORDER:
-            lower = here.select(F.col("code").cast("int").alias("suffix"), p.alias("below"))
+            lower = here.select(code.alias("suffix"), p.alias("below"))
         else:
             return here.select(*seen.columns, F.log(F.greatest(p, F.lit(1e-12))).alias("logp"))
 
@@ -143,38 +221,43 @@ def log_probabilities(seen: DataFrame, counts: DataFrame) -> DataFrame:
 def log_perplexities(flagged: DataFrame, counts: DataFrame, hot: int = HOT) -> DataFrame:
     """The columns of ``flagged`` but its text, with log_perplexity: the mean negative log probability per symbol; null for empty texts."""
     spark = flagged.sparkSession
-    seen = count_grams(flagged)
+    folded = is_folded(counts)
+    scan = folded_grams if folded else character_grams
+    seen = count_grams(flagged, folded=folded)
     scores = materialise(log_probabilities(seen, counts), "quality")
     least = frequent_from(scores, hot)
     top = scores.where(is_frequent(least)).select("code", "logp").toArrow()
-    frequent = spark.sparkContext.broadcast((top["code"].to_numpy(), top["logp"].to_numpy()))
+    frequent = spark.sparkContext.broadcast((top["code"].combine_chunks(), top["logp"].to_numpy()))
+    gram, sql = (pa.int32(), "int") if folded else (pa.binary(), "binary")
     others = [c for c in flagged.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {k}" for c, k in flagged.drop("text").dtypes)
 
     def run(batches):
-        known = np.full(SYMBOLS**ORDER, np.nan, dtype=np.float64)
-        known[frequent.value[0]] = frequent.value[1]
+        hot_codes, hot_logs = frequent.value
+        hot_logs = np.append(hot_logs, np.nan)
         row = TaskContext.get().partitionId() << 40
+        kind = pa.list_(pa.struct([("code", gram), ("n", pa.int64())]))
         for batch in batches:
-            sums, size, rare = [], [], []
+            sums, size, rare = [], [], [pa.array([], kind)]
             for texts in slices(batch.column(batch.schema.names.index("text")).to_pylist()):
-                code, n = grams(texts)
-                logs = known[code]
+                code, index, n = scan(texts)
+                at = pc.fill_null(pc.index_in(code, value_set=hot_codes), len(hot_codes)).to_numpy()
+                logs = hot_logs[at][index]
                 cold = np.isnan(logs)
                 text = np.repeat(np.arange(len(n)), n)
                 sums += np.bincount(text[~cold], weights=logs[~cold], minlength=len(n)).tolist()
                 size += n.tolist()
-                pair, k = np.unique(text[cold] * SYMBOLS**ORDER + code[cold], return_counts=True)
-                at = np.searchsorted(pair // SYMBOLS**ORDER, np.arange(len(n) + 1))
-                pair = pair % SYMBOLS**ORDER
-                rare += [[{"code": c, "n": m} for c, m in zip(pair[a:b].tolist(), k[a:b].tolist(), strict=True)] for a, b in zip(at[:-1], at[1:], strict=True)]
+                most = max(len(code), 1)
+                pair, k = np.unique(text[cold] * most + index[cold], return_counts=True)
+                ends = np.searchsorted(pair // most, np.arange(len(n) + 1)).astype(np.int32)
+                each = pa.StructArray.from_arrays([code.take(pa.array(pair % most)), pa.array(k, pa.int64())], ["code", "n"])
+                rare.append(pa.ListArray.from_arrays(pa.array(ends), each).cast(kind))
             ids = pa.array(range(row, row + len(size)), pa.int64())
             row += len(size)
-            kind = pa.list_(pa.struct([("code", pa.int32()), ("n", pa.int64())]))
-            cols = [ids, *(batch.column(batch.schema.names.index(c)) for c in others), pa.array(sums, pa.float64()), pa.array(size, pa.int64()), pa.array(rare, kind)]
+            cols = [ids, *(batch.column(batch.schema.names.index(c)) for c in others), pa.array(sums, pa.float64()), pa.array(size, pa.int64()), pa.concat_arrays(rare)]
             yield pa.RecordBatch.from_arrays(cols, ["row", *others, "known", "size", "rare"])
 
-    rows = materialise(flagged.mapInArrow(run, f"row long, {kinds}, known double, size long, rare array<struct<code:int,n:long>>"), "quality")
+    rows = materialise(flagged.mapInArrow(run, f"row long, {kinds}, known double, size long, rare array<struct<code:{sql},n:long>>"), "quality")
     out = with_rare(rows, scores.where(~is_frequent(least)), "code", "logp")
     return out.select(*others, (-(F.col("known") + F.coalesce("rest", F.lit(0.0))) / F.when(F.col("size") > 0, F.col("size"))).alias("log_perplexity"))
 
@@ -188,6 +271,7 @@ def classify(
     quantile: float = QUANTILE,
     with_key: bool = False,
     hot: int = HOT,
+    folded: bool = True,
 ) -> DataFrame:
     """doc_id, lang, trusted, log_perplexity, threshold, kept: a row per row of ``docs``.
 
@@ -197,6 +281,7 @@ def classify(
     no perplexity and are rejected. Texts of any length are scored whole. Repeated
     rows and null ids give a row each; an empty table gives none; other columns are
     ignored, whatever their names. ``with_key`` adds text_key, the text's xxhash64.
+    With ``folded=False`` the model is over the characters themselves.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -210,7 +295,7 @@ def classify(
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), *([F.xxhash64(text_col).alias("text_key")] if with_key else []))
     flagged = base.join(F.broadcast(good) if few else good, base.doc_id == good.labelled, "left").select("doc_id", "text", "lang", *extra, F.col("labelled").isNotNull().alias("trusted"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
-    counts = materialise(count_grams(flagged.where(F.col("trusted") & ~held)), "quality")
+    counts = materialise(count_grams(flagged.where(F.col("trusted") & ~held), folded=folded), "quality")
     scored = materialise(log_perplexities(flagged, counts, hot), "quality")
     discard(counts)
     steps = scored.where(F.col("trusted") & held & F.col("log_perplexity").isNotNull()).groupBy("lang", F.floor(F.col("log_perplexity") / STEP).alias("step")).agg(F.count("*").alias("n"))

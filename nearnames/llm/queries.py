@@ -36,7 +36,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folded=False)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,70 @@ def test_quality_equals_plain_form(spark, documents, hot):
         assert a[:2] == b[:2] and (a[2] is b[2] is None or a[2] == pytest.approx(b[2], rel=1e-6)) and a[3] == pytest.approx(b[3]) and a[4] == b[4]
 
 
+def plain_character_model(texts):
+    """Interpolated modified Kneser-Ney over characters as they are; a function of a string of 4."""
+    tables = {4: Counter(g for t in texts for g in four_grams(t))}
+    for n in (3, 2, 1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    d = {n: quality.discounts(Counter(t.values())) for n, t in tables.items()}
+    followers = {n: defaultdict(list) for n in tables}
+    for n, t in tables.items():
+        for g, c in t.items():
+            followers[n][g[:-1]].append(c)
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        n, rest = len(g), p(g[1:])
+        cs, c = followers[n].get(g[:-1]), tables[n].get(g, 0)
+        return rest if not cs else ((c - d[n][min(c, 3) - 1] if c else 0) + sum(d[n][min(x, 3) - 1] for x in cs) * rest) / sum(cs)
+
+    return p
+
+
+def four_grams(text):
+    return [("\n\n\n" + text)[k : k + 4] for k in range(len(text))]
+
+
+def test_quality_query_tells_all_characters_apart(spark, documents, tmp_path):
+    """Perplexities of the query are those of the texts' own characters: case, digits, accents, scripts and marks count."""
+    odd = ["THE ABC of 12", "QRS XYZ of 98", "Ωμέγα και", "Ωμάγα και", "привет мир", "приват мир", "漢字かな交じり", "a\x00b\x00", "\x00\x00", "😀 ok", "", None]
+    docs = [(i, t[:300] if t else t, lang) for i, t, lang, _ in documents[:120]] + [(9000 + i, t, "en") for i, t in enumerate(odd)]
+    labels = [(i, int(i % 7 > 0), 0) for i, _, _ in docs if i % 3 and i < 9000] + [(9002, 1, 0), (9004, 1, 0), (9006, 1, 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["log_perplexity"] for r in queries.op7_quality(spark, str(tmp_path)).collect()}
+    trusted = {i for i, q, _ in labels if q}
+    p = plain_character_model([t or "" for i, t, _ in docs if i in trusted and zlib.crc32(str(i).encode()) % quality.FOLDS])
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        want = -sum(math.log(p(g)) for g in four_grams(t)) / len(t) if t else None
+        assert got[i] == (want if want is None else pytest.approx(want, rel=1e-6)), t
+    assert got[9000] != pytest.approx(got[9001], rel=1e-6) and got[9002] != pytest.approx(got[9003], rel=1e-6)
+
+
+@pytest.mark.parametrize("hot", [0, 300])
+def test_character_model_with_few_grams_in_the_workers(spark, documents, hot):
+    texts = [(t or "")[:200] for _, t, _, _ in documents[:60]] + ["", "É\x00漢"]
+    p = plain_character_model(texts[::2])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    counts = quality.count_grams(df.where("i % 2 = 0"), folded=False).localCheckpoint()
+    for r in quality.log_perplexities(df, counts, hot=hot).collect():
+        t = texts[r["i"]]
+        want = -sum(math.log(p(g)) for g in four_grams(t)) / len(t) if t else None
+        assert r["log_perplexity"] == (want if want is None else pytest.approx(want, rel=1e-6))
+
+
+def test_character_grams_of_any_alphabet():
+    """Also where a slice has more characters than numbers of four of them fit in 64 bits."""
+    wide = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)[:70_000]
+    for texts in (["abca", "", "\x00\x00", "zß漢\U0010ffff"], [wide, "ab", wide[::-1][:500]], [""], []):
+        code, index, n = quality.character_grams(texts)
+        code = ["".join(chr(int.from_bytes(c[k : k + 3], "big")) for k in (0, 3, 6, 9)) for c in code.to_pylist()]
+        assert len(set(code)) == len(code) and n.tolist() == [len(t) for t in texts]
+        assert [code[i] for i in index] == [g for t in texts for g in four_grams(t)]
+
+
 def test_quality_separates(spark, sf):
     out = queries.op7_quality(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("doc_id", "i")
