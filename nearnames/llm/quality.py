@@ -201,7 +201,7 @@ def log_probabilities(seen: DataFrame, counts: DataFrame) -> DataFrame:
     table, tables, folded = counts.select("code", F.col("n").alias("c")), {}, is_folded(counts)
     code = F.col("code")
     for n in range(ORDER, 0, -1):
-        tables[n] = table
+        tables[n] = table = materialise(table, "quality") if n < ORDER else table
         # A lower order counts the distinct symbols that stand before.
         table = table.groupBy(_last(code, n - 1, folded).alias("code")).agg(F.count("*").alias("c"))
     lower = None
@@ -213,7 +213,8 @@ def log_probabilities(seen: DataFrame, counts: DataFrame) -> DataFrame:
         here = here.withColumn("below", F.lit(1.0 / (SYMBOLS if folded else CHARACTERS))) if lower is None else here.join(lower, "suffix")
         p = F.coalesce("p", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("below")
         if n < ORDER:
-            lower = here.select(code.alias("suffix"), p.alias("below"))
+            # Each order is a plan of its own: the driver never holds that of all four.
+            lower = materialise(here.select(code.alias("suffix"), p.alias("below")), "quality")
         else:
             return here.select(*seen.columns, F.log(F.greatest(p, F.lit(1e-12))).alias("logp"))
 
@@ -223,9 +224,10 @@ def log_perplexities(flagged: DataFrame, counts: DataFrame, hot: int = HOT) -> D
     spark = flagged.sparkSession
     folded = is_folded(counts)
     scan = folded_grams if folded else character_grams
-    seen = count_grams(flagged, folded=folded)
+    seen = materialise(count_grams(flagged, folded=folded), "quality")  # every order reads it
     scores = materialise(log_probabilities(seen, counts), "quality")
     least = frequent_from(scores, hot)
+    discard(seen)
     top = scores.where(is_frequent(least)).select("code", "logp").toArrow()
     frequent = spark.sparkContext.broadcast((top["code"].combine_chunks(), top["logp"].to_numpy()))
     gram, sql = (pa.int32(), "int") if folded else (pa.binary(), "binary")

@@ -104,6 +104,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage, mostly finished plans: left alone, the JVM grows its heap to the limit before it collects any."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -113,6 +119,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._nearnames_path = path
     return out
