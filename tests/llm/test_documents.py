@@ -327,6 +327,13 @@ def test_character_grams_of_any_alphabet():
         assert [code[i] for i in index] == [g for t in texts for g in four_grams(t)]
 
 
+def test_the_driver_plans_one_order_at_a_time(spark, documents):
+    df = spark.createDataFrame([(d[1],) for d in documents[:10]], "text string")
+    counts = quality.count_grams(df, folded=False).localCheckpoint()
+    plan = quality.log_probabilities(counts, counts)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Join ") <= 4
+
+
 def test_quality_separates(spark, sf):
     out = queries.op7_quality(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("doc_id", "i")
